@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
+from .line_dedup import OP3_SQL, op3_line_dedup
+from .mixing import op6_mixing
 from .near_dedup import op5_near_dedup
+from .sharding import op1_sharding
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
+    "op6_mixing": op6_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
