@@ -76,18 +76,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same.cast("double") / F.size(a))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _k (the doc_id, a null one as the least long) and _rn, the place among rows of that doc_id; dealt by _k."""
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
+    return keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text"), "text")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint of every row of docs(doc_id, text)."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    marks = fingerprint_arrays(keyed, ["_row"], ["text"])
-    return keyed.join(marks, "_row", "left").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), as_text(F.col("text_signature")).alias("fingerprint"))
+    rows = _numbered(docs)
+    marks = fingerprint_arrays(rows, ["_k", "_rn"], ["text"])
+    return rows.join(marks, ["_k", "_rn"], "left").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), as_text(F.col("text_signature")).alias("fingerprint"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document (see the contract of op8)."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("_k").orderBy(F.xxhash64("text"), "text")
-    rows = keyed.withColumn("_rn", F.row_number().over(order))
+    rows = _numbered(docs)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text").cast("long")
     sizes = keyed.groupBy("_k").agg(F.max(n).alias("_longest"))
     follow = cut(next_keys(keyed.select("_k"), "_k", "_next").join(sizes, "_k"))

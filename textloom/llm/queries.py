@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op8_fingerprints
 from .language_id import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op6_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
