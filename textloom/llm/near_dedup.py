@@ -6,7 +6,8 @@
    representative from here on.
 3. Representatives that share a band key form a bucket. A bucket links its members to one centre and not to each
    other; links that full sets confirm contract the graph. Buckets that still hold several components repeat this with
-   other centres, and what then remains is compared in full, so no link between different components is left out.
+   other centres, and what then remains is compared in full, so no link between different components is left out. A
+   pair is formed only if the shingles that each has in common with anyone suffice for a link.
 4. Components come from a distributed union-find.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; rows with equal doc_id are
@@ -40,8 +41,7 @@ def _sets(array: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]
         yield at, [np.unique(x) for x in S.block_shingles(hashes, begins, width)]
 
 
-def _digest(batches: Iterator[pa.RecordBatch], width: int, slots: int, band: int) -> Iterator[pa.RecordBatch]:
-    salts = S.mix(np.arange(1, slots // band + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def _digest(batches: Iterator[pa.RecordBatch], width: int, slots: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for at, sets in _sets(batch.column(1), width):
@@ -51,10 +51,6 @@ def _digest(batches: Iterator[pa.RecordBatch], width: int, slots: int, band: int
             sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(S.mix(flat ^ np.uint64(k)), dtype=np.uint64))) for k in (0x51ED270B, 0x2545F4914F6CDD1D)]
             h1, h2 = ((s[begins[1:]] - s[begins[:-1]]).view(np.int64) for s in sums)
             sig = signatures(flat, begins, slots)
-            grouped = sig.view(np.uint64).reshape(len(sets), slots // band, band)
-            keys = np.repeat(salts[None, :], len(sets), 0)
-            for i in range(band):
-                keys = S.mix(keys * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, i])
             short = (sig & 0x7FFFFFFF).astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -62,16 +58,15 @@ def _digest(batches: Iterator[pa.RecordBatch], width: int, slots: int, band: int
                     pa.array(sizes),
                     pa.array(h1),
                     pa.array(h2),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), slots // band).cast(pa.list_(pa.int64())),
                     pa.array([row.tobytes() for row in short], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands", "signature"],
+                names=["doc_id", "n_shingles", "h1", "h2", "signature"],
             )
 
 
-def digests(docs: DataFrame, width: int = 5, slots: int = SLOTS, band: int = BAND) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's digest), bands, signature of each row of docs(doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digest(it, width, slots, band), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, signature binary")
+def digests(docs: DataFrame, width: int = 5, slots: int = SLOTS) -> DataFrame:
+    """doc_id, n_shingles, h1, h2 (the set's digest), signature (four bytes a slot) of each row of docs(doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digest(it, width, slots), "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -100,7 +95,8 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, slots: int = SLOTS, band: int = BAND):
         self.docs, self.percent, self.width = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width
-        self.base = cut(digests(docs, width, slots, band))
+        self.slots, self.band = slots, band
+        self.base = cut(digests(docs, width, slots))
 
     def _representatives(self) -> DataFrame:
         """One document for each distinct set: the least doc_id that has it."""
@@ -108,13 +104,26 @@ class NearDuplicates:
         return real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
 
     def _buckets(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rep, n, signature; and (key, rep) of the band keys that two or more representatives share."""
+        """rep, n_shingles, signature; and (key, rep) of the band keys that two or more representatives share."""
         real = self.base.where("n_shingles > 0")
-        own = real.join(reps, [real.h1 == reps.h1, real.h2 == reps.h2, real.doc_id == reps.rep]).select("rep", "n_shingles", "signature", "bands").dropDuplicates(["rep"])
+        own = real.join(reps, [real.h1 == reps.h1, real.h2 == reps.h2, real.doc_id == reps.rep]).select("rep", "n_shingles", "signature").dropDuplicates(["rep"])
         own = cut(own)
-        exploded = own.select("rep", F.explode("bands").alias("key"))
+        step = 4 * self.band
+        bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * step, step)) for i in range(self.slots // self.band)])
+        exploded = own.select("rep", F.explode(bands).alias("key"))
         shared = exploded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-        return own.drop("bands"), cut(exploded.join(shared, "key"))
+        return own, cut(exploded.join(shared, "key"))
+
+    def _shareable(self, own: DataFrame, sets: DataFrame) -> DataFrame:
+        """rep, n, s of the members that can have a link at all: s is the number of their shingles that another member has.
+
+        A link needs 100 * intersection >= percent * union, and an intersection holds none of the shingles that only one
+        member has. So documents that merely share a passage drop out here, before any pair is formed.
+        """
+        grams = sets.select("doc_id", F.explode("grams").alias("gram"))
+        alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+        sized = sets.select(F.col("doc_id").alias("rep"), F.size("grams").cast("long").alias("n")).join(alone, "rep", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        return cut(sized.where(F.col("s") * 100 >= F.col("n") * self.percent))
 
     def _verified(self, pairs: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
         """The links (u, v) among pairs(a, b), by the full sets."""
@@ -136,15 +145,20 @@ class NearDuplicates:
         sets = cut(full_sets(self.docs.join(members, "doc_id", "left_semi"), self.width).dropDuplicates(["doc_id"]))
         found: DataFrame | None = None
         tried: DataFrame | None = None
+        live = self._shareable(own, sets)
+        buckets = cut(buckets.join(live, "rep"))
         state = buckets.withColumn("component", F.col("rep"))
         for turn in range(STAR_ROUNDS + 1):
             # A centre is any member, another one each turn; only members outside its component are compared with it.
             if turn < STAR_ROUNDS:
-                centre = state.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), F.col("rep").alias("c"), F.col("component").alias("cc"))).alias("m")).select("key", "m.c", "m.cc")
-                pairs = state.join(centre, "key").where("component <> cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+                centre = state.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"))).alias("m")).select("key", "m.c", "m.cc", "m.nc", "m.sc")
+                pairs = state.join(centre, "key").where("component <> cc")
             else:
-                other = state.select("key", F.col("rep").alias("c"), F.col("component").alias("cc"))
-                pairs = state.join(other, "key").where("component <> cc and rep < c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+                other = state.select("key", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"))
+                pairs = state.join(other, "key").where("component <> cc and rep < c")
+            # what both share with others, against the intersection that their sizes ask for
+            pairs = pairs.where(F.least("s", "sc") * (100 + self.percent) >= (F.col("n") + F.col("nc")) * self.percent)
+            pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
@@ -152,14 +166,13 @@ class NearDuplicates:
                 tried = pairs if tried is None else tried.union(pairs)
                 more = self._verified(pairs, own, sets)
                 found = cut(more if found is None else found.union(more))
-            if turn == STAR_ROUNDS or found is None and turn:
-                continue
-            state = buckets.withColumn("component", F.col("rep"))
+            if turn == STAR_ROUNDS:
+                break
             if found is not None:
                 found_in = components(found)
                 state = buckets.join(found_in.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            state = cut(state.select("key", "rep", "component").join(mixed, "key"))
+            state = cut(state.select("key", "rep", "n", "s", "component").join(mixed, "key"))
             if state.isEmpty():
                 break
         return found
