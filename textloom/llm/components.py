@@ -15,9 +15,11 @@ from .common import cut
 ROUNDS = 60
 #: Links a worker joins before it passes on their forest.
 LINKS = 1 << 18
+#: So few links (4 MB) are joined by one worker; more go round by round.
+LOCAL_LINKS = 1 << 18
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], most: int | None = LINKS) -> Iterator[pa.RecordBatch]:
     """Union-find over the links at hand: (node, root) with root the least node it knows to be linked."""
     parent: dict[int, int] = {}
 
@@ -34,25 +36,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent.clear()
         if rows:
             a = np.array(rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"]) if most is not None else pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["node", "component"])
 
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) >= LINKS:
+        if most is not None and len(parent) >= most:
             yield from out()
     yield from out()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """(node, component) of every node in links(u, v) that is not the least of its component; component is that least node.
 
     Each round links every node to the least node seen beside it; it ends when a round changes nothing. All work is
     joins and minima by node: no component, and no list of links, is gathered in one place.
     """
-    links = cut(links.select("u", "v").mapInArrow(_forest, "u long, v long").distinct())
+    links = links.select("u", "v")
+    if links.count() <= local:
+        return cut(links.coalesce(1).mapInArrow(lambda it: _forest(it, None), "node long, component long"))
+    links = cut(links.mapInArrow(_forest, "u long, v long").distinct())
     for _ in range(ROUNDS):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))

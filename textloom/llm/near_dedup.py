@@ -29,9 +29,7 @@ from .components import components
 from .superminhash import signatures
 
 SLOTS, BAND = 96, 4
-#: Pairs whose signatures agree in fewer slots are not verified: at a similarity of 0.8 that is eight standard errors below.
-LEAST_AGREE = 0.45
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Ids of documents to verify that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -79,13 +77,6 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, grams array<long>")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select(["a", "b"])
-
-
 def _jaccard(common: Column, a: Column, b: Column, percent: int) -> Column:
     return common * 100 >= (a + b - common) * percent
 
@@ -103,18 +94,17 @@ class NearDuplicates:
         real = self.base.where("n_shingles > 0 and doc_id is not null")
         return real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
 
-    def _buckets(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rep, n_shingles, signature; and (key, rep) of the band keys that two or more representatives share."""
+    def _buckets(self, reps: DataFrame) -> DataFrame:
+        """(key, rep) of the band keys that two or more representatives share."""
         real = self.base.where("n_shingles > 0")
-        own = real.join(reps, [real.h1 == reps.h1, real.h2 == reps.h2, real.doc_id == reps.rep]).select("rep", "n_shingles", "signature").dropDuplicates(["rep"])
-        own = cut(own)
+        own = real.join(reps, [real.h1 == reps.h1, real.h2 == reps.h2, real.doc_id == reps.rep]).select("rep", "signature").dropDuplicates(["rep"])
         step = 4 * self.band
         bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * step, step)) for i in range(self.slots // self.band)])
         exploded = own.select("rep", F.explode(bands).alias("key"))
         shared = exploded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-        return own, cut(exploded.join(shared, "key"))
+        return cut(exploded.join(shared, "key"))
 
-    def _shareable(self, own: DataFrame, sets: DataFrame) -> DataFrame:
+    def _shareable(self, sets: DataFrame) -> DataFrame:
         """rep, n, s of the members that can have a link at all: s is the number of their shingles that another member has.
 
         A link needs 100 * intersection >= percent * union, and an intersection holds none of the shingles that only one
@@ -125,18 +115,14 @@ class NearDuplicates:
         sized = sets.select(F.col("doc_id").alias("rep"), F.size("grams").cast("long").alias("n")).join(alone, "rep", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
         return cut(sized.where(F.col("s") * 100 >= F.col("n") * self.percent))
 
-    def _verified(self, pairs: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The links (u, v) among pairs(a, b), by the full sets."""
-        sig = own.select("rep", "signature", "n_shingles")
-        near = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-        near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).select("a", "b", "sa", "sb")
-        near = near.mapInArrow(lambda it: _agreeing(it, LEAST_AGREE), "a long, b long")
-        full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+        full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb")).cast("long")
         return full.where(_jaccard(common, F.size("ga").cast("long"), F.size("gb").cast("long"), self.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def links(self, reps: DataFrame) -> DataFrame | None:
-        own, buckets = self._buckets(reps)
+        buckets = self._buckets(reps)
         members = buckets.select(F.col("rep").alias("doc_id")).distinct()
         count = members.count()
         if not count:
@@ -145,7 +131,8 @@ class NearDuplicates:
         sets = cut(full_sets(self.docs.join(members, "doc_id", "left_semi"), self.width).dropDuplicates(["doc_id"]))
         found: DataFrame | None = None
         tried: DataFrame | None = None
-        live = self._shareable(own, sets)
+        live = self._shareable(sets)
+        sets = cut(sets.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
         buckets = cut(buckets.join(live, "rep"))
         state = buckets.withColumn("component", F.col("rep"))
         for turn in range(STAR_ROUNDS + 1):
@@ -164,7 +151,7 @@ class NearDuplicates:
             pairs = cut(pairs)
             if not pairs.isEmpty():
                 tried = pairs if tried is None else tried.union(pairs)
-                more = self._verified(pairs, own, sets)
+                more = self._verified(pairs, sets)
                 found = cut(more if found is None else found.union(more))
             if turn == STAR_ROUNDS:
                 break
