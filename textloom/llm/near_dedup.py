@@ -7,7 +7,8 @@
 3. Representatives that share a band key form a bucket. A bucket links its members to one centre and not to each
    other; links that full sets confirm contract the graph. Buckets that still hold several components repeat this with
    other centres, and what then remains is compared in full, so no link between different components is left out. A
-   pair is formed only if the shingles that each has in common with anyone suffice for a link.
+   pair is formed only if the shingles that each has in common with anyone suffice for a link, less those that its
+   sketch (a bit for each hash of a shingle) proves to be missing in the other.
 4. Components come from a distributed union-find.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; rows with equal doc_id are
@@ -30,6 +31,8 @@ from .superminhash import signatures
 
 SLOTS, BAND = 96, 4
 STAR_ROUNDS = 2
+#: 64-bit words of a sketch.
+SKETCH = 16
 #: Ids of documents to verify that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -67,14 +70,28 @@ def digests(docs: DataFrame, width: int = 5, slots: int = SLOTS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digest(it, width, slots), "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[(grams >> np.uint64(11)) % np.uint64(64 * SKETCH)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, grams and sketch of docs(doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _sets(batch.column(1), width):
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "grams"])
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([_sketch(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))), sketches], names=["doc_id", "grams", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, grams array<long>, sketch array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, grams array<long>")
+def _missing(a: str, b: str) -> Column:
+    """At least so many shingles of sketch a are not in b."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH)), F.lit(0))
 
 
 def _jaccard(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -133,18 +150,21 @@ class NearDuplicates:
         tried: DataFrame | None = None
         live = self._shareable(sets)
         sets = cut(sets.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-        buckets = cut(buckets.join(live, "rep"))
+        buckets = cut(buckets.join(live.join(sets.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("k")), "rep"), "rep"))
         state = buckets.withColumn("component", F.col("rep"))
         for turn in range(STAR_ROUNDS + 1):
-            # A centre is any member, another one each turn; only members outside its component are compared with it.
+            # The first centre is the member with the fewest shingles of its own: edits of one text link with it, though
+            # not with each other. Then it is another each turn; only members outside its component are compared with it.
             if turn < STAR_ROUNDS:
-                centre = state.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"))).alias("m")).select("key", "m.c", "m.cc", "m.nc", "m.sc")
+                rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("n") - F.col("s")
+                centre = state.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"), F.col("k").alias("kc"))).alias("m")).select("key", "m.c", "m.cc", "m.nc", "m.sc", "m.kc")
                 pairs = state.join(centre, "key").where("component <> cc")
             else:
-                other = state.select("key", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"))
+                other = state.select("key", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"), F.col("k").alias("kc"))
                 pairs = state.join(other, "key").where("component <> cc and rep < c")
-            # what both share with others, against the intersection that their sizes ask for
-            pairs = pairs.where(F.least("s", "sc") * (100 + self.percent) >= (F.col("n") + F.col("nc")) * self.percent)
+            # the largest intersection that they can have, against the one that their sizes ask for
+            most = F.least("s", "sc", F.col("n") - _missing("k", "kc"), F.col("nc") - _missing("kc", "k"))
+            pairs = pairs.where(most * (100 + self.percent) >= (F.col("n") + F.col("nc")) * self.percent)
             pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -158,8 +178,9 @@ class NearDuplicates:
             if found is not None:
                 found_in = components(found)
                 state = buckets.join(found_in.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            state = cut(state.select("key", "rep", "n", "s", "component").join(mixed, "key"))
+            mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n")).where("low < high").select("key", "least_n")
+            able = F.col("s") * (100 + self.percent) >= (F.col("n") + F.col("least_n")) * self.percent
+            state = cut(state.select("key", "rep", "n", "s", "k", "component").join(mixed, "key").where(able).drop("least_n"))
             if state.isEmpty():
                 break
         return found
