@@ -42,7 +42,7 @@ def _samples(term: Column, k: Column, lnw: list[Column], absent: list[Column]) -
 
 
 def fingerprint_arrays(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and, for each text column x, x_signature: array of samples (null where the text has no words).
+    """keys and, for each text column x, x_signature: array of 32-bit samples (null where the text has no words).
 
     If texts is already dealt by one of the keys, nothing is shuffled: a term's weights in all columns are counted
     where its row lies, then each term offers its samples to its row's minima.
@@ -63,12 +63,12 @@ def fingerprint_arrays(texts: DataFrame, keys: list[str], columns: list[str], sa
     out = []
     for i, c in enumerate(columns):
         flat = F.flatten(F.col(f"_parts._s{i}"))
-        out.append(F.when(F.element_at(flat, 1) < _EMPTY, F.transform(flat, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))).alias(f"{c}_signature"))
+        out.append(F.when(F.element_at(flat, 1) < _EMPTY, F.transform(flat, lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int"))).alias(f"{c}_signature"))
     return whole.select(*keys, *out)
 
 
 def as_text(signature: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + (1 << 31))), 8, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,38 +76,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same.cast("double") / F.size(a))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_k (the doc_id, a null one as the least long) and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _k (the doc_id, a null one as the least long) and _rn, the place among rows of that doc_id; dealt by _k."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
-    return keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text"), "text")))
+    """_k, text and _rn, the place among rows of that doc_id. Dealt by _k in an exchange that every branch of a plan has alike, so texts move once."""
+    return _keyed(docs).repartition("_k").withColumn("_rn", F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64("text"), "text")))
+
+
+def _doc_id() -> Column:
+    return F.when(F.col("_k") != _NULL_ID, F.col("_k")).alias("doc_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint of every row of docs(doc_id, text)."""
     rows = _numbered(docs)
     marks = fingerprint_arrays(rows, ["_k", "_rn"], ["text"])
-    return rows.join(marks, ["_k", "_rn"], "left").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), as_text(F.col("text_signature")).alias("fingerprint"))
+    return rows.join(marks, ["_k", "_rn"], "left").select(_doc_id(), F.char_length("text").cast("long").alias("n_chars"), as_text(F.col("text_signature")).alias("fingerprint"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document (see the contract of op8)."""
-    rows = _numbered(docs)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
+    """Each document's fingerprint beside those of its edited text and of the next document (see the contract of op8).
+
+    Texts move once, to be dealt by doc_id, and with them the start of each next document. All that follows moves
+    fingerprints.
+    """
     n = F.char_length("text").cast("long")
-    sizes = keyed.groupBy("_k").agg(F.max(n).alias("_longest"))
-    follow = cut(next_keys(keyed.select("_k"), "_k", "_next").join(sizes, "_k"))
+    sizes = _keyed(docs).groupBy("_k").agg(F.max(n).alias("_longest"))
+    follow = cut(next_keys(sizes, "_k", "_next").join(sizes, "_k"))
+    rows = _numbered(docs)
     heads = rows.where("_rn = 1").select(F.col("_k").alias("_next"), F.col("text").alias("_head")).join(follow, "_next")
     heads = heads.select("_k", F.substring(F.col("_head"), F.lit(1), F.floor(F.col("_longest") / 4).cast("int")).alias("_head"))
-    both = rows.join(heads, "_k")
     c = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - c).cast("int")), F.substring(F.col("_head"), F.lit(1), c))
-    both = both.select("_k", "_rn", "doc_id", "text", edited.alias("edited"))
-    marks = cut(fingerprint_arrays(both, ["_k", "_rn"], ["text", "edited"]))
-    meta = both.select("_k", "_rn", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    after = follow.select(F.col("_k"), "_next").join(marks.where("_rn = 1").select(F.col("_k").alias("_next"), F.col("text_signature").alias("_after")), "_next", "left").drop("_next")
-    out = meta.join(marks, ["_k", "_rn"], "left").join(after, "_k", "left")
+    both = rows.join(heads, "_k").select("_k", "_rn", "text", edited.alias("edited"))
+    meta = both.select("_k", "_rn", n.alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    marks = cut(meta.join(fingerprint_arrays(both, ["_k", "_rn"], ["text", "edited"]), ["_k", "_rn"], "left"))
+    after = follow.select("_k", "_next").join(marks.where("_rn = 1").select(F.col("_k").alias("_next"), F.col("text_signature").alias("_after")), "_next").drop("_next")
+    out = marks.join(after, "_k", "left")
     a, b, c = F.col("text_signature"), F.col("edited_signature"), F.col("_after")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+    return out.select(_doc_id(), "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
