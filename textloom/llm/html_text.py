@@ -33,6 +33,7 @@ _GONE_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo promos promotion related recommended reply replies respond responses share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar toc topbar widget widgets".split()
 )
 _GOOD_NAME = frozenset("article body content entry main post story text".split())
+_GOOD_ARTICLE = frozenset("article content entry main post story".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -119,17 +120,31 @@ def _names(node: Node) -> set[str]:
     return set(_WORDS.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
 
 
+def _holds_article(node: Node) -> bool:
+    """Whether an article, or the page's main part, lies below: `content with-sidebar` is no sidebar."""
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str):
+                if c.tag == "main" or c.tag == "article" and not _names(c) & _GONE_NAME:
+                    return True
+                todo.append(c)
+    return False
+
+
 def _is_gone(node: Node, in_article: bool) -> bool:
     if node.tag in _GONE or node.tag == "header" and not in_article:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    if not node.attrs or node.tag in ("html", "body"):
         return False
     if "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", node.attrs.get("style", ""), re.I):
         return True
+    names = _names(node)
+    if node.tag in ("article", "main"):
+        return bool(names & _GONE_NAME) and not names & _GOOD_ARTICLE
     if node.attrs.get("role", "").lower() in _GONE_ROLE:
         return True
-    names = _names(node)
-    return bool(names & _GONE_NAME) or "header" in names and not in_article
+    return bool(names & _GONE_NAME or "header" in names and not in_article) and not _holds_article(node)
 
 
 def _prune(root: Node) -> list[Node]:
