@@ -24,6 +24,8 @@ from .common import table
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 2000
+#: More languages than this are refused: the matrix, 0.5 MB a language, is held by the driver and by every worker.
+LANGUAGES = 512
 SMOOTHING = 0.5
 #: Code points scored together; a longer text makes a block of its own.
 BLOCK = 1 << 18
@@ -107,10 +109,13 @@ class LanguageModel:
     @classmethod
     def fit(cls, docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
         labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-        share = sizes.select("lang", (F.lit(float(rows)) / F.col("n") * (1 << 30)).cast("long").alias("share"))
+        sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+        if len(sizes) > LANGUAGES:
+            raise ValueError(f"more than {LANGUAGES} languages")
+        shares = docs.sparkSession.createDataFrame([(r.lang, int(rows / r.n * (1 << 30))) for r in sizes], "lang string, share long")
         draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
-        sample = labelled.select("lang", "text", draw.alias("draw")).join(share, "lang").where("draw < share").select("lang", "text")
+        # the sample is drawn where the rows lie: only counts are shuffled
+        sample = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
         counted = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         languages = sorted(counted["lang"].unique())
         table_ = np.full((len(languages), BUCKETS), SMOOTHING)
