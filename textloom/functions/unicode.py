@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Python's white space as a Java class body: the Unicode property and the four separators it leaves out.
 PY_SPACE = r"\s\x1c-\x1f"
@@ -71,7 +72,7 @@ def from_utf16(text: str, offset: int) -> int:
 
 
 def _offsets(f):
-    @F.arrow_udf("int")
+    @F.arrow_udf(IntegerType())
     def run(texts: pa.Array, offsets: pa.Array) -> pa.Array:
         return pa.array([None if t is None or o is None else f(t, o) for t, o in zip(texts.to_pylist(), offsets.to_pylist(), strict=True)], pa.int32())
 

@@ -81,31 +81,72 @@ def _giro(least: int) -> Callable[[str, dt.date], bool | None]:
     return lambda text, today: None if least <= len(n := _numbers(text)) <= 8 and passes_mod10(n) else False
 
 
-#: Clearing numbers of each way to check an account: "first-last" or one number; then the account's lengths.
-_CLEARING = {
-    # eleven over the last three digits of the clearing number and the account
-    ("tail", 7, 7): "1100-1199 1200-1399 1400-2099 2400-2499 3000-3299 3301-3399 3400-3409 3410-3781 3783-3999 5000-5999 7000-7999 9060-9069 9070-9079 9120-9124 9130-9149 9170-9179 9230-9239 9250-9259 9270-9279 9280-9289 9460-9469 9580-9589 9630-9639 9680-9689",
-    # eleven over the whole clearing number and the account
-    ("whole", 7, 7): "2300-2399 4000-4999 9020-9029 9040-9049 9100-9109 9150-9169 9190-9199 9260-9269 9390-9399 9470-9479 9550-9569 9590-9599 9640-9649 9660-9669 9670-9679 9700-9709 9710-9719 9750-9759 9780-9789 9880-9889",
-    # ten over the account
-    ("ten", 10, 10): "3300 3782 9180-9189 9300-9349 9570-9579 9890-9899",
-    ("ten", 2, 10): "8000-8999 9500-9549 9960-9969",
-    # eleven over the account
-    ("eleven", 8, 9): "6000-6999",
-}
-
-
-def clearing_ranges() -> list[tuple[int, int, str, int, int]]:
-    """(first, last, rule, shortest, longest account) by clearing number: the table of the range join."""
-    rows = []
-    for (rule, short, long), spans in _CLEARING.items():
-        for span in spans.split():
-            a, _, b = span.partition("-")
-            rows.append((int(a), int(b or a), rule, short, long))
-    return sorted(rows)
+#: Fixed values, the clearing house's public table: first and last clearing number, type and comment (which name the
+#: check), shortest and longest account.
+CLEARING = (
+    (1100, 1199, 1, 1, 7, 7),
+    (1200, 1399, 1, 1, 7, 7),
+    (1400, 2099, 1, 1, 7, 7),
+    (2300, 2399, 1, 2, 7, 7),
+    (2400, 2499, 1, 1, 7, 7),
+    (3000, 3299, 1, 1, 7, 7),
+    (3300, 3300, 2, 1, 10, 10),
+    (3301, 3399, 1, 1, 7, 7),
+    (3400, 3409, 1, 1, 7, 7),
+    (3410, 3781, 1, 1, 7, 7),
+    (3782, 3782, 2, 1, 10, 10),
+    (3783, 3999, 1, 1, 7, 7),
+    (4000, 4999, 1, 2, 7, 7),
+    (5000, 5999, 1, 1, 7, 7),
+    (6000, 6999, 2, 2, 8, 9),
+    (7000, 7999, 1, 1, 7, 7),
+    (8000, 8999, 2, 3, 2, 10),
+    (9020, 9029, 1, 2, 7, 7),
+    (9040, 9049, 1, 2, 7, 7),
+    (9060, 9069, 1, 1, 7, 7),
+    (9070, 9079, 1, 1, 7, 7),
+    (9100, 9109, 1, 2, 7, 7),
+    (9120, 9124, 1, 1, 7, 7),
+    (9130, 9149, 1, 1, 7, 7),
+    (9150, 9169, 1, 2, 7, 7),
+    (9170, 9179, 1, 1, 7, 7),
+    (9180, 9189, 2, 1, 10, 10),
+    (9190, 9199, 1, 2, 7, 7),
+    (9230, 9239, 1, 1, 7, 7),
+    (9250, 9259, 1, 1, 7, 7),
+    (9260, 9269, 1, 2, 7, 7),
+    (9270, 9279, 1, 1, 7, 7),
+    (9280, 9289, 1, 1, 7, 7),
+    (9300, 9349, 2, 1, 10, 10),
+    (9390, 9399, 1, 2, 7, 7),
+    (9460, 9469, 1, 1, 7, 7),
+    (9470, 9479, 1, 2, 7, 7),
+    (9500, 9549, 2, 3, 2, 10),
+    (9550, 9569, 1, 2, 7, 7),
+    (9570, 9579, 2, 1, 10, 10),
+    (9580, 9589, 1, 1, 7, 7),
+    (9590, 9599, 1, 2, 7, 7),
+    (9630, 9639, 1, 1, 7, 7),
+    (9640, 9649, 1, 2, 7, 7),
+    (9660, 9669, 1, 2, 7, 7),
+    (9670, 9679, 1, 2, 7, 7),
+    (9680, 9689, 1, 1, 7, 7),
+    (9700, 9709, 1, 2, 7, 7),
+    (9710, 9719, 1, 2, 7, 7),
+    (9750, 9759, 1, 2, 7, 7),
+    (9780, 9789, 1, 2, 7, 7),
+    (9880, 9889, 1, 2, 7, 7),
+    (9890, 9899, 2, 1, 10, 10),
+    (9960, 9969, 2, 3, 2, 10),
+)
 
 
-_RANGES = clearing_ranges()
+def checked_digits(number: str, clearing: int, kind: tuple[int, int]) -> bool:
+    """Type 1 sums clearing number and account by eleven (comment 1: without the first digit), type 2 the account by eleven or ten."""
+    if kind[0] == 1:
+        return passes_mod11(number[1:] if kind[1] == 1 else number)
+    account = number[clearing:]
+    return passes_mod11(account) if kind[1] == 2 else passes_mod10(account)
 
 
 def bank_account(text: str, today: dt.date | None = None) -> bool | None:
@@ -113,16 +154,13 @@ def bank_account(text: str, today: dt.date | None = None) -> bool | None:
     head = 5 if n.startswith("8") else 4
     if not head + 2 <= len(n) <= 15:
         return False
-    account = n[head:]
-    for first, last, rule, short, long in _RANGES:
-        if first <= int(n[:4]) <= last:
-            if not short <= len(account) <= long:
-                return False
-            ok = {"tail": lambda: passes_mod11(n[1:]), "whole": lambda: passes_mod11(n), "ten": lambda: passes_mod10(account), "eleven": lambda: passes_mod11(account)}[rule]()
-            return None if ok else False
-    return False
+    row = next((r for r in CLEARING if r[0] <= int(n[:4]) <= r[1]), None)
+    if row is None or not row[4] <= len(n) - head <= row[5]:
+        return False
+    return None if checked_digits(n, head, row[2:4]) else False
 
 
+#: Currency codes, months, and the parts of street names.
 _CURRENCY = frozenset("AUD CAD CHF CNY CZK DKK EUR GBP HKD HUF JPY MXN NOK NZD PLN RUB SEK SGD THB TRY USD ZAR".split())
 _MONTHS = "januari februari mars april maj juni juli augusti september oktober november december".split()
 _SHORT = "jan feb mar apr jun jul aug sept sep okt nov dec".split()
@@ -156,20 +194,16 @@ _SIDE = "Västra Östra Norra Södra Stora Lilla Gamla Nya Övre Nedre Inre Yttr
 _STREET = rf"(?:\p{{Lu}}[\p{{Ll}}-]*{_any(_SUFFIX)}|\p{{Lu}}[\p{{Lu}}-]*{_any(s.upper() for s in _SUFFIX)})"
 
 
-def _context(words: str) -> tuple[str, ...]:
-    """Words of context, blanks between them; an underline stands for a blank inside."""
-    return tuple(w.replace("_", " ") for w in words.split())
-
-
+#: The patterns with their scores, and the words of context.
 RECOGNIZERS: tuple[Recognizer, ...] = (
-    Recognizer("SE_PERSONNUMMER", ((_ALONE + r"(?:19|20)?\d{6}[+-]\d{4}" + _ENDS, 0.5), (_ALONE + r"(?:19|20)\d{10}" + _ENDS, 0.1), (_ALONE + r"\d{10}" + _ENDS, 0.05)), _context("personnummer personnr pnr samordningsnummer samordningsnr född födelsenummer personal_identity_number"), personnummer),
-    Recognizer("SE_ORGANISATIONSNUMMER", ((_ALONE + r"(?:16)?\d{6}-\d{4}" + _ENDS, 0.5), (_ALONE + r"(?:16)?\d{10}" + _ENDS, 0.05)), _context("organisationsnummer organisationsnr orgnr org.nr org_nr momsregistreringsnummer bolagsverket organisation_number"), organisationsnummer),
-    Recognizer("SE_BANKGIRO", ((_APART + r"\d{3,4}-\d{4}" + _STOPS, 0.3), (_APART + r"\d{7,8}" + _STOPS, 0.05)), _context("bankgiro bankgironummer bankgironr bankgirot bg bg-nr bg-nummer bank_giro"), _giro(7)),
-    Recognizer("SE_PLUSGIRO", ((_APART + r"\d\d?(?: ?\d\d){1,3}-\d" + _STOPS, 0.1), (_APART + r"\d{4,8}" + _STOPS, 0.05)), _context("plusgiro plusgironummer plusgironr plusgirot postgiro pg pg-nr pg-nummer"), _giro(4)),
-    Recognizer("SE_BANK_ACCOUNT", ((_APART + r"(?:8\d{3}-\d|\d{4,5})(?:,? | ?- ?)\d(?:[ -]?\d){1,11}" + _STOPS, 0.1), (_APART + r"\d{11,15}" + _STOPS, 0.05)), _context("konto kontonummer kontonr bankkonto bankkontonummer lönekonto sparkonto privatkonto personkonto clearingnummer clearingnr clearing clnr bank_account account_number"), bank_account),
-    Recognizer("SE_POSTNUMMER", ((r"(?<![\w-])SE-? ?" + _CODE + _STOPS, 0.6), (_APART + r"\b" + _CODE + r"(?= \p{Lu}[\p{L}-]+(?![\p{L}\d]))", 0.6), (_APART + r"\b" + _CODE + _STOPS, 0.05)), _context("postnummer postnr postadress adress utdelningsadress besöksadress gatuadress bostadsadress folkbokföringsadress postort ort box postbox postal_code zip"), lambda t, today: None if len(n := _numbers(t)) == 5 and int(n) <= 98499 else False, False),
-    Recognizer("ADDRESS", ((rf"(?<![\p{{L}}\d-])(?:{_any([*_SIDE, *(s.upper() for s in _SIDE)])} )?{_STREET} [1-9]\d{{0,3}}(?:-\d{{1,4}})?(?: ?[A-Z]|[a-z])?(?![\p{{L}}\d])(?:,? {_any(['lgh', 'lägenhet', 'LGH'])} ?\d{{4}})?(?![\p{{L}}\d])", 0.6),), _context("adress gatuadress bostadsadress besöksadress utdelningsadress folkbokföringsadress bor boende address"), lambda t, today: None, False),
-    Recognizer("SE_VEHICLE_REGISTRATION", ((r"(?<![\p{L}\d-])[A-HJ-PR-UW-Z]{3} ?\d\d[A-HJ-NPR-UW-Z\d](?![\p{L}\d-])", 0.3),), _context("registreringsnummer regnummer regnr reg.nr reg_nr registreringsskylt nummerplåt bil bilen bilens fordon fordonet fordonets registration licence_plate license_plate"), lambda t, today: False if t[:3] in _CURRENCY else None, False),
+    Recognizer("SE_PERSONNUMMER", ((_ALONE + r"(?:19|20)?\d{6}[+-]\d{4}" + _ENDS, 0.5), (_ALONE + r"(?:19|20)\d{10}" + _ENDS, 0.1), (_ALONE + r"\d{10}" + _ENDS, 0.05)), ("personnummer", "personnr", "pnr", "samordningsnummer", "samordningsnr", "född", "födelsenummer", "personal identity number"), personnummer),
+    Recognizer("SE_ORGANISATIONSNUMMER", ((_ALONE + r"(?:16)?\d{6}-\d{4}" + _ENDS, 0.5), (_ALONE + r"(?:16)?\d{10}" + _ENDS, 0.05)), ("organisationsnummer", "organisationsnr", "orgnr", "org.nr", "org nr", "momsregistreringsnummer", "bolagsverket", "organisation number"), organisationsnummer),
+    Recognizer("SE_BANKGIRO", ((_APART + r"\d{3,4}-\d{4}" + _STOPS, 0.3), (_APART + r"\d{7,8}" + _STOPS, 0.05)), ("bankgiro", "bankgironummer", "bankgironr", "bankgirot", "bg", "bg-nr", "bg-nummer", "bank giro"), _giro(7)),
+    Recognizer("SE_PLUSGIRO", ((_APART + r"\d\d?(?: ?\d\d){1,3}-\d" + _STOPS, 0.1), (_APART + r"\d{4,8}" + _STOPS, 0.05)), ("plusgiro", "plusgironummer", "plusgironr", "plusgirot", "postgiro", "pg", "pg-nr", "pg-nummer"), _giro(4)),
+    Recognizer("SE_BANK_ACCOUNT", ((_APART + r"(?:8\d{3}-\d|\d{4,5})(?:,? | ?- ?)\d(?:[ -]?\d){1,11}" + _STOPS, 0.1), (_APART + r"\d{11,15}" + _STOPS, 0.05)), ("konto", "kontonummer", "kontonr", "bankkonto", "bankkontonummer", "lönekonto", "sparkonto", "privatkonto", "personkonto", "clearingnummer", "clearingnr", "clearing", "clnr", "bank account", "account number"), bank_account),
+    Recognizer("SE_POSTNUMMER", ((r"(?<![\w-])SE-? ?" + _CODE + _STOPS, 0.6), (_APART + r"\b" + _CODE + r"(?= \p{Lu}[\p{L}-]+(?![\p{L}\d]))", 0.6), (_APART + r"\b" + _CODE + _STOPS, 0.05)), ("postnummer", "postnr", "postadress", "adress", "utdelningsadress", "besöksadress", "gatuadress", "bostadsadress", "folkbokföringsadress", "postort", "ort", "box", "postbox", "postal code", "zip"), lambda t, today: None if len(n := _numbers(t)) == 5 and int(n) <= 98499 else False, False),
+    Recognizer("ADDRESS", ((rf"(?<![\p{{L}}\d-])(?:{_any([*_SIDE, *(s.upper() for s in _SIDE)])} )?{_STREET} [1-9]\d{{0,3}}(?:-\d{{1,4}})?(?: ?[A-Z]|[a-z])?(?![\p{{L}}\d])(?:,? {_any(['lgh', 'lägenhet', 'LGH'])} ?\d{{4}})?(?![\p{{L}}\d])", 0.6),), ("adress", "gatuadress", "bostadsadress", "besöksadress", "utdelningsadress", "folkbokföringsadress", "bor", "boende", "address"), lambda t, today: None, False),
+    Recognizer("SE_VEHICLE_REGISTRATION", ((r"(?<![\p{L}\d-])[A-HJ-PR-UW-Z]{3} ?\d\d[A-HJ-NPR-UW-Z\d](?![\p{L}\d-])", 0.3),), ("registreringsnummer", "regnummer", "regnr", "reg.nr", "reg nr", "registreringsskylt", "nummerplåt", "bil", "bilen", "bilens", "fordon", "fordonet", "fordonets", "registration", "licence plate", "license plate"), lambda t, today: False if t[:3] in _CURRENCY else None, False),
     Recognizer("DATE_OF_BIRTH", ((rf"(?<=(?<![\p{{L}}\d]){_any(['född', 'föddes', 'f.', 'födelsedatum', 'födelsedag'])}(?: den)?:? )(?:den )?(?:(?:19|20)\d\d-?[01]\d-?[0-3]\d|[0-3]?\d(?::[ae])? {_any(_MONTHS + _SHORT)}\.? (?:19|20)\d\d|[0-3]?\d[./][01]?\d(?:[-./ ](?:19|20)\d\d|[-./]\d\d))(?![\p{{L}}\d-])(?![./]\d)", 0.6),), (), date_of_birth),
 )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "textloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,11 @@ def session(name: str = "textloom", master: str | None = None, **conf: str) -> S
     for k, v in {**fixed, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the folder of spark.checkpoint.dir; a session that has none (tests, a laptop) gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+    return df.checkpoint(eager=True)

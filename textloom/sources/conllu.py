@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import trees
 from .documents import SENTENCE, Sentence, Token, Word
@@ -158,11 +160,9 @@ def sentences(files: DataFrame, key: str = "path", content: str = "value", reade
     """key, sent_idx, sentence (a SENTENCE struct) of every sentence of files(key, content)."""
     kind = files.schema[key].dataType.simpleString()
     out = f"{key} {kind}, sent_idx int, sentence {SENTENCE}"
+    schema = to_arrow_schema(StructType.fromDDL(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(_schema(out))
         for batch in batches:
             rows = [{key: k, "sent_idx": i, "sentence": dataclasses.asdict(s)} for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, s in enumerate(reader(t))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -170,12 +170,6 @@ def sentences(files: DataFrame, key: str = "path", content: str = "value", reade
     return files.select(key, content).mapInArrow(run, out)
 
 
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, sent_idx, sentence of every sentence of the files at path, one file a row of the scan."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
