@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.marked import Element, parse_markdown
-from .segment import segment
+from .segment import sentence_texts
 
 Count = Callable[[str], int]
 
@@ -34,7 +34,7 @@ class Chunk:
 
 def sections(elements: list[Element], sentences: Callable[[str], list[str]] | None = None) -> Iterator[Section]:
     """The parts under each header, with the headers above as context. A table is a section of one unit of its own."""
-    cut = sentences or (lambda t: [s.text or "" for s in segment(t)])
+    cut = sentences or sentence_texts
     heads: dict[int, str] = {}
     held: list[str] = []
 
@@ -59,50 +59,62 @@ def pack(section: Section, most: int, overlap: int = 0, count: Count = count_wor
     """Units are added while the context and they fit; the last units that fit the overlap open the next chunk.
 
     A unit that alone is too long is cut at its words and takes no overlap. Headers that fill the budget raise ValueError.
+    Words are counted unit by unit; any other count sees each candidate text whole, since it need not add up.
     """
     head = section.context + "\n" if section.context else ""
     if head and count(head) >= most:
         raise ValueError("the headers alone fill a chunk")
-    fits = lambda units: count(head + " ".join(units)) <= most
+    if count is count_words:
+        room = most - count_words(head)
+        fits = lambda units, sizes: sum(sizes) <= room
+    else:
+        fits = lambda units, sizes: count(head + " ".join(units)) <= most
     out: list[Chunk] = []
     held: list[str] = []
+    sizes: list[int] = []
     fresh = 0  # units of held that no chunk has yet
 
-    def close() -> None:
-        nonlocal held, fresh
-        if fresh:
-            out.append(Chunk(section.context, " ".join(held)))
-        fresh = 0
+    def put(units: list[str]) -> None:
+        out.append(Chunk(section.context, " ".join(units)))
 
     for unit in section.units:
-        if fits([*held, unit]):
+        size = count(unit)
+        if fits([*held, unit], [*sizes, size]):
             held.append(unit)
+            sizes.append(size)
             fresh += 1
             continue
-        close()
-        if not fits([unit]):
-            held = []
-            piece: list[str] = []
-            for word in unit.split(" "):
-                if piece and not fits([" ".join([*piece, word])]):
-                    out.append(Chunk(section.context, " ".join(piece)))
-                    piece = []
-                piece.append(word)
-            if piece:
-                out.append(Chunk(section.context, " ".join(piece)))
+        if fresh:
+            put(held)
+        if not fits([unit], [size]):
+            held, sizes, fresh = [], [], 0
+            for piece in _pieces(unit, fits):
+                put([piece])
             continue
-        back: list[str] = []
-        for u in reversed(held):
-            if count(" ".join([u, *back])) > overlap:
-                break
-            back.insert(0, u)
-        while back and not fits([*back, unit]):
-            back.pop(0)
-        held, fresh = [*back, unit], 1
-    close()
+        back = 0
+        while back < len(held) and count(" ".join(held[len(held) - back - 1 :])) <= overlap:
+            back += 1
+        while back and not fits([*held[len(held) - back :], unit], [*sizes[len(held) - back :], size]):
+            back -= 1
+        held, sizes, fresh = [*held[len(held) - back :], unit], [*sizes[len(sizes) - back :], size], 1
+    if fresh:
+        put(held)
     return out
 
 
+def _pieces(unit: str, fits) -> Iterator[str]:
+    """Runs of a long unit's words that just fit; a word that does not fit alone stays whole."""
+    words = unit.split(" ")
+    at = 0
+    while at < len(words):
+        low, high = 1, len(words) - at
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if fits([" ".join(words[at : at + mid])], [sum(1 for w in words[at : at + mid] if w.strip())]) else (low, mid - 1)
+        yield " ".join(words[at : at + low])
+        at += low
+
+
 def chunk(text: str, most: int, overlap: int = 0, count: Count = count_words) -> list[Chunk]:
     return [c for s in sections(parse_markdown(text)) for c in pack(s, most, overlap, count)]
 

@@ -6,37 +6,37 @@ a trained tokenizer can take the rule's place: anything that maps a paragraph to
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions.unicode import TOKEN_SPACE
-from ..sources.documents import SENTENCE, Sentence, Token, Word
+from ..sources.documents import SENTENCE, Sentence, Token, Word, sentence_array
 
 #: Where a paragraph ends.
 BREAK = rf"\n[{TOKEN_SPACE}]*\n"
 _BREAK = regex.compile(r"\n[\s\x1c-\x1f\x80-\x9f]*\n")
 _SPACE = r"\s\x1c-\x1f\x80-\x9f"
 MASKED = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+|(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]]"
-_TOKEN = regex.compile(rf"(?:{MASKED})|\p{{L}}[\p{{L}}\p{{M}}]*(?:['’]\p{{L}}+)*|\p{{N}}+(?:[.,]\p{{N}}+)*|([?!.])\1*|[^{_SPACE}]")
+_PLAIN = rf"\p{{L}}[\p{{L}}\p{{M}}]*(?:['’]\p{{L}}+)*|\p{{N}}+(?:[.,]\p{{N}}+)*|([?!.])\1*|[^{_SPACE}]"
+_TOKEN, _UNMASKED = regex.compile(rf"(?:{MASKED})|{_PLAIN}"), regex.compile(_PLAIN)
 _END = regex.compile(r"[.!?…。！？]+$")
 _CLOSING = frozenset("\"'’”»)]}")
 
 #: Sentences a worker holds before it passes them on.
-ROWS = 256
+ROWS = 1024
 #: A scorer: the spans of a paragraph's tokens, each with whether a sentence ends there.
 Splitter = Callable[[str], list[tuple[int, int, bool]]]
 
 
 def rule(paragraph: str) -> list[tuple[int, int, bool]]:
     """Tokens by pattern (e-mails and URLs whole); a sentence ends at closing punctuation before a blank and a capital, digit or quote."""
-    spans = [m.span() for m in _TOKEN.finditer(paragraph)]
+    # few paragraphs hold a literal that the masks need
+    pattern = _TOKEN if "@" in paragraph or "http" in paragraph or "www." in paragraph else _UNMASKED
+    spans = [m.span() for m in pattern.finditer(paragraph)]
     out = []
     for i, (a, b) in enumerate(spans):
         end = False
@@ -79,6 +79,21 @@ def segment(text: str | None, split: Splitter = rule, ssplit: bool = True, max_t
     return out
 
 
+def sentence_texts(text: str | None, split: Splitter = rule) -> list[str]:
+    """The texts of segment(text)'s sentences, without their tokens."""
+    out = []
+    for _, part in paragraphs(text or ""):
+        start = None
+        for a, b, end in split(part):
+            start = a if start is None else start
+            if end:
+                out.append(part[start:b])
+                start = None
+        if start is not None:
+            out.append(part[start:b])
+    return out
+
+
 def mark_spaces(sentences: Iterable[Sentence], text: str) -> None:
     """space_after from the text between tokens, spaces_before for the first."""
     tokens = [t for s in sentences for t in s.tokens]
@@ -161,18 +176,28 @@ def expand(sentences: list[Sentence], table: Mapping[str, list[str]]) -> list[Se
 def annotated(docs: DataFrame, run: Callable[[str | None], list[Sentence]] = segment, key: str = "doc_id") -> DataFrame:
     """key, sent_idx, sentence of docs(key, text). Rows are mapped alone: neighbours never change a result."""
     out = f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence {SENTENCE}"
-    schema = to_arrow_schema(StructType.fromDDL(out))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [{key: k, "sent_idx": i, "sentence": dataclasses.asdict(s)} for i, s in enumerate(run(t))]
-                if len(rows) >= ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            owner: list[int] = []
+            places: list[int] = []
+            held: list[Sentence] = []
+
+            def flush(batch=batch, owner=owner, places=places, held=held) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), sentence_array(held)], names=[key, "sent_idx", "sentence"])
+                for x in (owner, places, held):
+                    x.clear()
+                return out
+
+            for n, t in enumerate(batch.column(1).to_pylist()):
+                own = run(t)
+                owner += [n] * len(own)
+                places += range(len(own))
+                held += own
+                if len(held) >= ROWS:
+                    yield flush()
+            if held:
+                yield flush()
 
     return docs.select(key, "text").mapInArrow(each, out)
 

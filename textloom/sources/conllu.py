@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import dataclasses
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from . import trees
-from .documents import SENTENCE, Sentence, Token, Word
+from .documents import SENTENCE, Sentence, Token, Word, sentence_array
 
 _ESCAPES = {" ": "\\s", "\t": "\\t", "\r": "\\r", "\n": "\\n", "|": "\\p", "\\": "\\\\", " ": "\\u00A0"}
 _UNESCAPES = {v: k for k, v in _ESCAPES.items()}
@@ -160,12 +157,13 @@ def sentences(files: DataFrame, key: str = "path", content: str = "value", reade
     """key, sent_idx, sentence (a SENTENCE struct) of every sentence of files(key, content)."""
     kind = files.schema[key].dataType.simpleString()
     out = f"{key} {kind}, sent_idx int, sentence {SENTENCE}"
-    schema = to_arrow_schema(StructType.fromDDL(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{key: k, "sent_idx": i, "sentence": dataclasses.asdict(s)} for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, s in enumerate(reader(t))]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for n, t in enumerate(batch.column(1).to_pylist()):
+                own = reader(t) if t else []
+                if own:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n] * len(own), pa.int64())), pa.array(range(len(own)), pa.int32()), sentence_array(own)], names=[key, "sent_idx", "sentence"])
 
     return files.select(key, content).mapInArrow(run, out)
 

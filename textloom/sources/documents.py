@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+
 WORD = "struct<id:int,empty_index:int,text:string,lemma:string,upos:string,xpos:string,feats:string,head:int,deprel:string,start_char:int,end_char:int,coref:string>"
 TOKEN = f"struct<text:string,start_char:int,end_char:int,space_after:string,spaces_before:string,ner:string,is_mwt:boolean,words:array<{WORD}>>"
 SENTENCE = f"struct<sent_id:string,text:string,constituency:string,sentiment:int,tokens:array<{TOKEN}>,empty:array<{WORD}>>"
 
 
-@dataclass
+@dataclass(slots=True)
 class Word:
     id: int
     text: str
@@ -25,7 +28,7 @@ class Word:
     empty_index: int | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     text: str
     start_char: int | None = None
@@ -37,7 +40,7 @@ class Token:
     words: list[Word] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class Sentence:
     sent_id: str | None = None
     text: str | None = None
@@ -106,3 +109,34 @@ def entities(sentence: Sentence, doc_text: str | None = None) -> list[Entity]:
                 close()
     close()
     return found
+
+
+_WORD_TYPES = [("id", pa.int32()), ("empty_index", pa.int32()), ("text", pa.string()), ("lemma", pa.string()), ("upos", pa.string()), ("xpos", pa.string()), ("feats", pa.string()), ("head", pa.int32()), ("deprel", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("coref", pa.string())]
+_TOKEN_TYPES = [("text", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("space_after", pa.string()), ("spaces_before", pa.string()), ("ner", pa.string()), ("is_mwt", pa.bool_())]
+_SENTENCE_TYPES = [("sent_id", pa.string()), ("text", pa.string()), ("constituency", pa.string()), ("sentiment", pa.int32())]
+
+
+def _columns(rows: Sequence, types: list[tuple[str, pa.DataType]]) -> dict[str, pa.Array]:
+    return {name: pa.array([getattr(r, name) for r in rows], kind) for name, kind in types}
+
+
+def _lists(rows: Sequence[list], values: pa.Array) -> pa.ListArray:
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _struct(columns: dict[str, pa.Array]) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
+def _words(rows: Sequence[list[Word]]) -> pa.ListArray:
+    return _lists(rows, _struct(_columns([w for r in rows for w in r], _WORD_TYPES)))
+
+
+def sentence_array(sentences: Sequence[Sentence]) -> pa.StructArray:
+    """SENTENCE structs, column by column: no row is built as a dictionary."""
+    tokens = [t for s in sentences for t in s.tokens]
+    token_array = _struct(_columns(tokens, _TOKEN_TYPES) | {"words": _words([t.words for t in tokens])})
+    return _struct(_columns(sentences, _SENTENCE_TYPES) | {"tokens": _lists([s.tokens for s in sentences], token_array), "empty": _words([s.empty for s in sentences])})
