@@ -149,6 +149,12 @@ def checked_digits(number: str, clearing: int, kind: tuple[int, int]) -> bool:
     return passes_mod11(account) if kind[1] == 2 else passes_mod10(account)
 
 
+def with_clearing(df: DataFrame, column: str) -> DataFrame:
+    """df with type, comment, shortest and longest of the row of CLEARING that holds its clearing number, null without one. The table is fixed and small: it is broadcast."""
+    table = df.sparkSession.createDataFrame(list(CLEARING), "first int, last int, type int, comment int, shortest int, longest int")
+    return df.join(F.broadcast(table), F.col(column).between(F.col("first"), F.col("last")), "left").drop("first", "last")
+
+
 def bank_account(text: str, today: dt.date | None = None) -> bool | None:
     n = _numbers(text)
     head = 5 if n.startswith("8") else 4

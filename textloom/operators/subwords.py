@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def longest_piece(word: str, vocab: Mapping[str, int] | set[str], prefix: str = "##", unknown: str = "[UNK]", most: int = 100) -> list[str]:
     """Greedy: the longest piece of the vocabulary each time; a word with a part that has none is unknown."""
@@ -69,3 +73,29 @@ def word_places(words: Sequence[str], pieces) -> tuple[list[str], list[tuple[int
         places.append((len(out), len(out) + len(own)))
         out += own
     return out, places
+
+
+def piece_counter(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_words, n_pieces: longest-piece subwords under the size most frequent word beginnings (to five letters)."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    heads = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(5))), lambda i: F.substring("w", F.lit(1), i))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    top = {r.p for r in heads.orderBy(F.desc("n"), "p").limit(size).collect()}
+    vocab = docs.sparkSession.sparkContext.broadcast(top | {"##" + p for p in top})
+
+    @F.arrow_udf("int")
+    def pieces(lists: pa.Array) -> pa.Array:
+        memo: dict[str, int] = {}
+        out = []
+        for own in lists.to_pylist():
+            total = 0
+            for w in own or ():
+                if w not in memo:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    memo[w] = len(longest_piece(w, vocab.value))
+                total += memo[w]
+            out.append(total)
+        return pa.array(out, pa.int32())
+
+    listed = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("ws"))
+    return listed.select("doc_id", F.size("ws").alias("n_words"), pieces(F.col("ws")).alias("n_pieces"))

@@ -23,9 +23,15 @@ def session(name: str = "textloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the folder of spark.checkpoint.dir; a session that has none (tests, a laptop) gets a temporary one."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a session that has none (tests, a laptop) gets a temporary one."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder; what follows reads that copy."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.running import running_ids
 from ..operators.segment import annotated
+from ..session import shared_dir
 
 
 def text_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
@@ -56,6 +58,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return w.select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def to_the_end(aggregated: DataFrame) -> DataFrame:
+    """What an aggregating stream has when its source is read to the end, written to the shared folder batch by batch."""
+    spark = aggregated.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out-{batch_id}")
+        last[:] = [batch_id]
+
+    aggregated.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out-{last[0]}") if last else spark.createDataFrame([], aggregated.schema)
+
+
 def each_batch(stream: DataFrame, f: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """f on every batch, each written in a folder of its own: a batch that is run again replaces what it wrote."""
     return stream.writeStream.foreachBatch(lambda b, i: f(b).write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
