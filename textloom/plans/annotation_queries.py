@@ -9,7 +9,7 @@ from ..operators import chunking, coref, langid, masking, pii
 from ..operators.segment import annotated, paragraph_rows
 from ..streaming import stream
 from .text_queries import ORACLE_SQL as TEXT_SQL
-from .text_queries import capitalized_runs, docs
+from .text_queries import TRIGRAMS_SQL, capitalized_runs, docs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,8 +55,8 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(docs(spark, sf_dir).select("doc_id", "text"), 200, 20)
 
 
-@query("""
-WITH g AS (SELECT doc_id, lang, substr(t, i, 3) AS gram FROM (SELECT doc_id, lang, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents)),
+@query(f"""
+WITH g AS (SELECT doc_id, lang, unnest({TRIGRAMS_SQL.format("lower(text)")}) AS gram FROM documents),
 c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL), v AS (SELECT count(DISTINCT gram) AS size FROM c),
 t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), d AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL),
 s AS (SELECT d.doc_id, t.lang, round(sum(k * ln((coalesce(c.n, 0) + 1) / (t.total + v.size))), 3) AS score FROM d CROSS JOIN t CROSS JOIN v LEFT JOIN c ON c.gram = d.gram AND c.lang = t.lang GROUP BY ALL)

@@ -110,16 +110,20 @@ def luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "customer").select("c_custkey", number.alias("number")).withColumns({"luhn": luhn(F.col("number")), "mod10": mod10(F.col("number"))})
 
 
-@query("""
-WITH g AS (SELECT lang, substr(t, i, 3) AS gram FROM (SELECT lang, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents)),
+#: All trigrams: those that begin at the first, second and third character and every third from there. Linear in the text, as a substring from each place is not.
+TRIGRAMS_SQL = "list_concat(list_concat(regexp_extract_all({0}, '(?s)...'), regexp_extract_all(substr({0}, 2), '(?s)...')), regexp_extract_all(substr({0}, 3), '(?s)...'))"
+
+
+@query(f"""
+WITH g AS (SELECT lang, unnest({TRIGRAMS_SQL.format("lower(text)")}) AS gram FROM documents),
 c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL)
 SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM c QUALIFY place <= 20
 """)
 def lang_ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent trigrams of each language: texts are cut where they lie, counts combine before the shuffle."""
-    t = F.lower("text")
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(t, i, F.lit(3)))
-    counted = docs(spark, sf_dir).where(F.length("text") >= 3).select("lang", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    from ..operators.langid import trigrams
+
+    counted = docs(spark, sf_dir).select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     return ranked.where("place <= 20").withColumn("place", F.col("place").cast("long"))
 
