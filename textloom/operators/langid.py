@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +19,35 @@ def _grams(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, F.explode(trigrams(F.col("text"))).alias("gram"))
 
 
-def fit(docs: DataFrame) -> DataFrame:
-    """(gram, weights): for each trigram of docs(lang, text) its log-probability in every language, by language.
+#: More languages than this are refused: each is a column of the model.
+LANGUAGES = 512
+
+
+@dataclass(frozen=True)
+class TrigramModel:
+    """table(gram, weights): a trigram's log-probability in every language; missing: the weights of a trigram that none holds."""
+
+    table: DataFrame
+    missing: tuple[tuple[str, float], ...]
+
 
-    The last row, of a null gram, has the weights of a trigram that no language holds.
-    """
+def fit(docs: DataFrame) -> TrigramModel:
+    """A model of docs(lang, text), with one count added to every trigram."""
     counted = _grams(docs.where("lang is not null"), "lang").groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    totals = {r.lang: r.total for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    rows = counted.groupBy("lang").agg(F.sum("n").alias("total")).limit(LANGUAGES + 1).collect()
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     size = counted.select("gram").distinct().count()
-    langs = sorted(totals)
-    by = counted.groupBy("gram").pivot("lang", langs).agg(F.first("n"))
-    weigh = lambda n, lang: F.log((F.coalesce(n, F.lit(0)) + 1) / F.lit(float(totals[lang] + size)))
-    names = F.array(*[F.struct(weigh(F.col(f"`{x}`"), x).alias("w"), F.lit(x).alias("lang")) for x in langs])
-    none = F.array(*[F.struct(weigh(F.lit(None).cast("long"), x).alias("w"), F.lit(x).alias("lang")) for x in langs])
-    return by.select("gram", names.alias("weights"), none.alias("missing"))
+    totals = {r.lang: float(r.total + size) for r in sorted(rows)}
+    by = counted.groupBy("gram").pivot("lang", list(totals)).agg(F.first("n"))
+    weights = [F.struct(F.lit(x).alias("lang"), F.log((F.coalesce(F.col(f"`{x}`"), F.lit(0)) + 1) / F.lit(t)).alias("w")) for x, t in totals.items()]
+    return TrigramModel(by.select("gram", F.array(*weights).alias("weights")), tuple((x, -math.log(t)) for x, t in totals.items()))
 
 
-def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, model: TrigramModel) -> DataFrame:
     """doc_id and lang_pred, the language of the best score (three digits), the first by name on ties."""
     per = _grams(docs, "doc_id").groupBy("doc_id", "gram").agg(F.count("*").alias("k"))
-    missing = model.select("missing").limit(1)
-    joined = per.join(model.select("gram", "weights"), "gram", "left").crossJoin(F.broadcast(missing)).select("doc_id", "k", F.explode(F.coalesce("weights", "missing")).alias("x"))
+    none = F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(w).alias("w")) for x, w in model.missing])
+    joined = per.join(model.table, "gram", "left").select("doc_id", "k", F.explode(F.coalesce("weights", none)).alias("x"))
     scores = joined.groupBy("doc_id", F.col("x.lang").alias("lang")).agg(F.round(F.sum(F.col("k") * F.col("x.w")), 3).alias("score"))
     return scores.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("m")).select("doc_id", F.col("m.lang").alias("lang_pred"))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 _NEWLINE = re.compile("\r\n|[\r\n\f\u0085  ]")
 
 
@@ -144,3 +148,27 @@ def dialogue(plain: str) -> tuple[bool, str]:
     if len(plain) > 1 and plain[0] in "-‐–—" and plain[1] != "-":
         return True, plain[1:].lstrip()
     return False, plain
+
+
+def cue_rows(files: DataFrame, parse: Callable[[str], list[Cue]] = parse_srt, key: str = "path") -> DataFrame:
+    """key, cue_idx, number, timing, lines of every cue of files(key, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, i, c) for n, t in enumerate(batch.column(1).to_pylist()) if t for i, c in enumerate(parse(t))]
+            lines = pa.array([list(c.lines) for _, _, c in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], pa.int32()), pa.array([c.number for _, _, c in rows], pa.int32()), pa.array([c.timing for _, _, c in rows], pa.string()), lines], names=[key, "cue_idx", "number", "timing", "lines"])
+
+    return files.select(key, "value").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, cue_idx int, number int, timing string, lines array<string>")
+
+
+def gold_rows(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, start, end, type, id, text of every labelled span of files(key, value), in the places of the plain text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, g) for n, t in enumerate(batch.column(1).to_pylist()) if t for g in parse_labelled(t)[1]]
+            cols = [pa.array([getattr(g, c) for _, g in rows], t) for c, t in (("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("id", pa.string()), ("text", pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _ in rows], pa.int64())), *cols], names=[key, "start", "end", "type", "id", "text"])
+
+    return files.select(key, "value").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, start int, end int, type string, id string, text string")
