@@ -17,11 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh_path, table
+from textloom.llm.common import cut, fresh_path, table
 from textloom.llm.decontamination import without_benchmark
 from textloom.llm.language_id import LanguageModel, with_language
 from textloom.llm.mixing import mixed_documents
-from textloom.llm.near_dedup import near_duplicates
+from textloom.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from textloom.llm.sharding import assign, build_map
 
 SHARDS = 40
@@ -32,7 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    # so few ids go to every worker and no text moves; more are joined by a shuffle
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
