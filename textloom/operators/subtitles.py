@@ -23,9 +23,18 @@ MAX_LINE = 42
 
 def midpoint(c: Column) -> Column:
     """The place (from 1) of the blank nearest the middle, the earlier on ties; null without a blank."""
-    n = F.length(c)
-    blanks = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(1)) == " ")
-    return F.array_min(F.transform(blanks, lambda i: F.struct(F.abs(2 * (i - 1) - (n - 1)).alias("off"), i.alias("at"))))["at"]
+    # one pass over the words with a running place: the length is carried along, as a lambda would count it each time
+    words = F.split(c, " ", -1)
+    nearest = F.struct(F.lit(None).cast("int").alias("off"), F.lit(None).cast("int").alias("at"))
+    start = F.struct(F.lit(0).alias("at"), F.length(c).alias("n"), nearest.alias("best"))
+
+    def step(done: Column, word: Column) -> Column:
+        at = done["at"] + F.length(word) + 1
+        here = F.struct(F.abs(2 * (at - 1) - (done["n"] - 1)).alias("off"), at.alias("at"))
+        nearer = done["best"]["at"].isNull() | (here["off"] < done["best"]["off"])
+        return F.struct(at.alias("at"), done["n"].alias("n"), F.when(nearer, here).otherwise(done["best"]).alias("best"))
+
+    return F.aggregate(F.slice(words, 1, F.size(words) - 1), start, step)["best"]["at"]
 
 
 def midpoint_of(text: str) -> int | None:

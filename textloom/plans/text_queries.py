@@ -282,3 +282,16 @@ def midpoint_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = docs(spark, sf_dir, "conversations").where(F.length("text").between(20, 400))
     return c.select("conv_id", "turn", midpoint(F.col("text")).cast("long").alias("break_at")).where("break_at is not null")
+
+
+@query(r"""
+WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, length(text) AS n, string_split(text, ' ') AS ws FROM conversations),
+w AS (SELECT r, conv_id, turn, n, unnest(range(1, len(ws) + 1)) AS i, length(unnest(ws)) + 1 AS k, len(ws) AS m FROM t),
+s AS (SELECT r, conv_id, turn, n, i, m, sum(k) OVER (PARTITION BY r ORDER BY i) AS pos FROM w)
+SELECT conv_id, turn, CAST(min(struct_pack(away := abs(2 * (pos - 1) - (n - 1)), at := pos)).at AS BIGINT) AS break_at FROM s WHERE i < m GROUP BY r, conv_id, turn
+""")
+def midpoint_breaks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The midpoint break of every turn with a blank, of any length; midpoint_breaks has those of 20 to 400 characters."""
+    from ..operators.subtitles import midpoint
+
+    return docs(spark, sf_dir, "conversations").select("conv_id", "turn", midpoint(F.col("text")).cast("long").alias("break_at")).where("break_at is not null")
