@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textloom.operators.segment import paragraphs
 from textloom.operators.subtitles import midpoint, midpoint_of
 from textloom.plans import catalog
 
@@ -16,3 +17,11 @@ def test_every_turn_has_its_midpoint(spark):
     texts = ["", " ", "  ", "a", " a", "a ", "a  b", "\U0001f600 é x", "word " * 100_000, None]
     found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(midpoint("t")).collect()]
     assert found == [None if t is None or " " not in t else midpoint_of(t) + 1 for t in texts]
+
+
+def test_documents_with_blank_lines_keep_their_paragraphs(spark, tmp_path):
+    texts = ["one", "one\n\ntwo", " a \n \t\nb\nc\n\n\n\nd\n", "\n\n", "", None, "\n\nlast\n \n", "\u00e9\r\n\r\n\U0001f600 x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in catalog.QUERIES["paragraphs"](spark, str(tmp_path)).collect()}
+    assert found == {(i, k, len(p)) for i, t in enumerate(texts) for k, (_, p) in enumerate(paragraphs(t or ""))}
+    assert {i for i, k, _ in found if k} == {1, 2, 7}

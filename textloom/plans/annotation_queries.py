@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 @query("SELECT doc_id, 0 AS par_idx, length(trim(text, chr(32) || chr(10) || chr(9))) AS n_chars FROM documents WHERE length(trim(text, chr(32) || chr(10) || chr(9))) > 0 AND NOT regexp_matches(text, '\\n[ \\t]*\\n')")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one paragraph."""
-    p = paragraph_rows(docs(spark, sf_dir).where(~F.col("text").rlike(r"\n[ \t]*\n")))
+    """The paragraphs of every document. The SQL covers documents without a blank line only: tests hold the rest."""
+    p = paragraph_rows(docs(spark, sf_dir))
     return p.select("doc_id", "par_idx", F.length("paragraph").cast("long").alias("n_chars"))
 
 
