@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from textloom.llm.decontamination import contamination, op2_decontamination, without_benchmark
 
 from .helpers import SF, counted, docs, none, odd, odd_rows, words
@@ -53,6 +55,34 @@ def test_edited_passages_at_the_threshold(spark):
     assert {r.doc_id for r in without_benchmark(df, bench).collect()} == {d for d, _ in rows} - gone
 
 
+def test_repeated_shingles_hide_nothing(spark):
+    def at_random(n, k):
+        rng = random.Random(n * 1000 + k)
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    items, rows = [], []
+    for k in range(4):
+        for n, filler in ((200, 17), (300, 28), (400, 39)):
+            w = at_random(n, k)
+            at = 40 + 9 * k
+            items.append((len(items), " ".join(w)))
+            rows.append((len(rows), " ".join(["lead"] * k + w[:at] + ["x"] * filler + w[at + filler :] + ["tail"] * 5)))
+        rows.append((len(rows), " ".join(at_random(200, k)[:179] + ["0"] * 60)))
+        # the item has the repeats, or both have and not equally often
+        w = at_random(150, k + 100)
+        items.append((len(items), " ".join(w[:60] + ["y"] * 40 + w[60:])))
+        rows.append((len(rows), " ".join(w[:60] + ["y"] * (20 + 8 * k) + w[60:])))
+        rows.append((len(rows), " ".join(w[:60] + at_random(16 + 2 * k, k + 200) + ["y"] * 24 + w[60:])))
+    rows.append((len(rows), "y " * 200))
+    expected = brute(rows, items)
+    assert len(rows) > len({d for d, _ in expected}) > 15
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in contamination(df, bench).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-5 for k in found)
+    assert {r.doc_id for r in without_benchmark(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in expected}
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "one two three"), (2, None), (None, "no such words at all here")], "item_id long, text string")
     found = contamination(odd(spark), bench).collect()

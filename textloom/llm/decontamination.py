@@ -6,7 +6,9 @@ within RADIUS // BLOCKS bits in at least one block, and a table for each block v
 item within the radius is missed. Candidates are verified by the generalised Jaccard similarity of the weighted
 shingles themselves. A window is fingerprinted only where enough of its shingles stand in some item: fewer cannot
 reach the threshold, whatever their fingerprint. At a similarity of 0.8 fingerprints of 64 bits differ by 9.7 bits on
-average with a deviation of 2.9, so RADIUS is 4.6 deviations beyond.
+average with a deviation of 2.9, so RADIUS is 4.6 deviations beyond. This holds while no shingle repeats: a repeated one
+turns many bits at once. Where a window or an item has repeated shingles no fingerprint decides: the intersection of
+every window with every item that could reach the threshold is counted exactly, in one pass over the places they share.
 
 Documents are only mapped over; nothing is shuffled. Items are broadcast in parts of at most PART_BYTES, one pass a part.
 
@@ -45,11 +47,27 @@ def signs(grams: np.ndarray) -> np.ndarray:
     return np.unpackbits(grams.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
+def _repeated(order: np.ndarray, fresh: np.ndarray, m: int) -> np.ndarray:
+    """Whether each window of m places holds a value twice. order sorts the values stably; fresh marks each one's first."""
+    n = len(order)
+    again = np.full(n, n, np.int64)
+    twice = np.flatnonzero(~fresh)
+    again[order[twice - 1]] = order[twice]
+    return np.minimum.accumulate(again[::-1])[::-1][: n - m + 1] < np.arange(n - m + 1) + m
+
+
 class _Chunk:
-    """Block tables of up to CHUNK fingerprints."""
+    """Block tables of up to CHUNK fingerprints, and their items by shingle."""
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]):
         self.prints = prints
+        grams = np.concatenate([g for g, _ in weights])
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.holders = np.repeat(np.arange(len(weights)), [len(g) for g, _ in weights])[order]
+        self.counts = np.concatenate([n for _, n in weights])[order]
+        self.totals = np.array([int(n.sum()) for _, n in weights], np.int64)
+        self.repeats = np.array([bool((n > 1).any()) for _, n in weights], bool)
         near = np.array([0] + [sum(1 << b for b in c) for k in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(16), k)], np.uint16)
         self.table = np.zeros((BLOCKS, 1 << 16, (len(prints) + 7) // 8), np.uint8)
         for i, p in enumerate(prints.tolist()):
@@ -65,6 +83,31 @@ class _Chunk:
         near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
         return w[near], i[near]
 
+    def exact(self, grams: np.ndarray, order: np.ndarray, fresh: np.ndarray, m: int, only: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, shingles in common with each window of m) of the items of only that enough places of grams share.
+
+        A place adds to a window's intersection if fewer of its value than the item holds stand before it in the window.
+        """
+        ordered = grams[order]
+        first, last = np.searchsorted(self.grams, ordered, "left"), np.searchsorted(self.grams, ordered, "right")
+        held = last - first
+        k = np.repeat(np.arange(len(order)), held)
+        row = np.arange(len(k)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(first, held)
+        own = only[self.holders[row]]
+        k, row = k[own], row[own]
+        item, count, at = self.holders[row], self.counts[row], order[k]
+        back = k - count
+        # the place from which on so many of the value stand before this one
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        before = np.where(back >= begin[k], order[np.maximum(back, 0)], -1)
+        low = np.maximum(np.maximum(before + 1, at - m + 1), 0)
+        by_item = np.argsort(item, kind="stable")
+        bounds = np.searchsorted(item[by_item], np.arange(len(self.totals) + 1))
+        n = len(grams) + 1
+        for i in np.flatnonzero(np.diff(bounds) * (100 + PERCENT) >= PERCENT * (m + self.totals)).tolist():
+            mine = by_item[bounds[i] : bounds[i + 1]]
+            yield i, np.cumsum(np.bincount(low[mine], minlength=n) - np.bincount(at[mine] + 1, minlength=n))[: n - m]
+
 
 class Items:
     """The index of one part of the benchmark; tables are built where they are used."""
@@ -94,7 +137,7 @@ class Items:
     def chunks(self, size: int) -> list[tuple[list[int], _Chunk]]:
         if size not in self._chunks:
             own = self.by_size[size]
-            self._chunks[size] = [(own[i : i + CHUNK], _Chunk(self.prints[own[i : i + CHUNK]])) for i in range(0, len(own), CHUNK)]
+            self._chunks[size] = [(own[i : i + CHUNK], _Chunk(self.prints[own[i : i + CHUNK]], [self.weights[j] for j in own[i : i + CHUNK]])) for i in range(0, len(own), CHUNK)]
         return self._chunks[size]
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
@@ -129,19 +172,34 @@ class Items:
     def _verify(self, grams: np.ndarray, starts: np.ndarray, m: int, size: int, best: dict[int, tuple[float, int]]) -> None:
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1) if len(starts) else ():
             low = run[0]
-            sums = np.zeros((run[-1] + m - low + 1, 64), np.int32)
-            np.cumsum(signs(grams[low : run[-1] + m]), axis=0, out=sums[1:])
-            prints = simhash(sums[run - low + m] - sums[run - low])
+            here = grams[low : run[-1] + m]
+            order = np.argsort(here, kind="stable")
+            fresh = np.concatenate(([True], here[order[1:]] != here[order[:-1]]))
+            repeated = _repeated(order, fresh, m)[run - low].any()
+            prints = None
             for own, chunk in self.chunks(size):
+                only = chunk.repeats | repeated
+                if only.any():
+                    for i, common in chunk.exact(here, order, fresh, m, only):
+                        at = int(np.argmax(common[run - low]))
+                        self._take(best, own[i], int(common[run[at] - low]), m, int(run[at]))
+                if repeated:
+                    continue
+                if prints is None:
+                    sums = np.zeros((len(here) + 1, 64), np.int32)
+                    np.cumsum(signs(here), axis=0, out=sums[1:])
+                    prints = simhash(sums[run - low + m] - sums[run - low])
                 for w, i in zip(*chunk.within(prints), strict=True):
-                    item, start = own[i], int(run[w])
-                    g, n = np.unique(grams[start : start + m], return_counts=True)
-                    their, count = self.weights[item]
-                    _, a, b = np.intersect1d(g, their, assume_unique=True, return_indices=True)
-                    common = int(np.minimum(n[a], count[b]).sum())
-                    union = m + int(count.sum()) - common
-                    if common * 100 >= union * PERCENT and (item not in best or common / union > best[item][0]):
-                        best[item] = (common / union, start)
+                    if not only[i]:
+                        start = int(run[w])
+                        # no shingle repeats on either side
+                        common = len(np.intersect1d(grams[start : start + m], self.weights[own[i]][0], assume_unique=True))
+                        self._take(best, own[i], common, m, start)
+
+    def _take(self, best: dict[int, tuple[float, int]], item: int, common: int, m: int, start: int) -> None:
+        union = m + int(self.weights[item][1].sum()) - common
+        if common * 100 >= union * PERCENT and (item not in best or common / union > best[item][0]):
+            best[item] = (common / union, start)
 
 
 def _parts(benchmark: DataFrame) -> Iterator[Items]:
