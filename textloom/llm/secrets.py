@@ -34,7 +34,9 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-_ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+)-----END \1-----")
+_ARMOUR = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+_BLANK = re.compile(rb"\n[ \t\r]*\n")
+_CRC = re.compile(rb"\n[ \t]*=[A-Za-z0-9+/]{4}\s*\Z")
 _B64 = re.compile(rb"[A-Za-z0-9+/]{40,}+={0,2}")
 _HEXKEY = re.compile(rb"[0-9a-fA-F]{64,}")
 
@@ -103,6 +105,47 @@ def is_token(run: bytes) -> bool:
     return isinstance(fields, dict) and isinstance(fields.get("alg"), str)
 
 
+def is_pgp_key(data: bytes) -> bool:
+    """An OpenPGP packet of a secret key or subkey that lies in data whole, of a known version."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, k = data[0] & 0x3F, data[1]
+        if k < 192:
+            at, size = 2, k
+        elif k < 224:
+            at, size = 3, ((k - 192) << 8) + data[2] + 192
+        elif k == 255:
+            at, size = 6, int.from_bytes(data[2:6], "big")
+        else:
+            return False
+    else:
+        tag, k = (data[0] & 0x3C) >> 2, data[0] & 3
+        if k == 3:
+            at, size = 1, len(data) - 1
+        else:
+            at = 1 + (1 << k)
+            size = int.from_bytes(data[1:at], "big")
+    return tag in (5, 7) and size > 0 and at + size <= len(data) and data[at] in (2, 3, 4, 5, 6)
+
+
+def _armoured(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """(start, end, label, headers, body) of what lies between an END line and the last BEGIN line before it, if their labels are equal."""
+    begin = None
+    for m in _ARMOUR.finditer(raw):
+        if m[1] == b"BEGIN":
+            begin = m
+        elif begin is not None and begin[2] == m[2]:
+            body, headers = raw[begin.end() : m.start()], b""
+            if b":" in body:
+                # headers end at the blank line, or with the last line that has a colon
+                cut = _BLANK.search(body, len(body) - len(body.lstrip()))
+                at = cut.end() if cut and b":" in body[: cut.start()] else body.find(b"\n", body.rindex(b":")) + 1 or len(body)
+                headers, body = body[:at], body[at:]
+            yield begin.start(), m.end(), m[2], headers, body
+            begin = None
+
+
 def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
@@ -120,13 +163,13 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
         found += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(raw) if is_token(m[0])]
     armoured = []
     if b"PRIVATE KEY" in raw:
-        for m in _ARMOUR.finditer(raw):
-            body = m[2].split(b"\n\n", 1)[-1] if b":" in m[2] else m[2]
-            data = _unpad(re.sub(rb"\s", b"", body))
+        for start, end, label, headers, body in _armoured(raw):
+            data = _unpad(re.sub(rb"\s", b"", _CRC.sub(b"", body)))
             # an encrypted body is opaque: its header stands for its structure
-            if _is_key(data) or data and b"ENCRYPTED" in m[0]:
-                found.append((m.start(), 4, m.end()))
-                armoured.append((m.start(), m.end()))
+            opaque = data and b"-" not in body and b"ENCRYPTED" in label + headers
+            if opaque or (data is not None and is_pgp_key(data) if label.endswith(b"BLOCK") else _is_key(data)):
+                found.append((start, 4, end))
+                armoured.append((start, end))
     for m in _B64.finditer(raw):
         if m[0][:1] in b"MA" or m[0].startswith(b"b3Bl"):
             if _is_key(_unpad(m[0])) and not any(a <= m.start() < b for a, b in armoured):
