@@ -30,6 +30,19 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "attrs",
+    ["title='the hidden cost'", 'title="the hidden cost"', 'data-hidden="false"', 'data-state="hidden"', "data-state=hidden", 'data-id="menu-3"', "data-class=ad", 'title="a class=ad b"', "href=/x/hidden", "x-role = 'menu'", "title = 'id=ad' data-role=dialog"],
+)
+def test_attributes_are_whole(attrs):
+    assert main_text(f"<article {attrs}><p>{PARA}</p><p {attrs}>{PARA}</p></article>") == f"{PARA}\n\n{PARA}"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN", "title=x hidden", "title='a'hidden", "hidden=''", "class=ad", "CLASS = 'x ad'", "data-id=x id=menu", "/hidden", "aria-hidden=true", "style='display: none'", "role=dialog"])
+def test_exact_attributes_count(attrs):
+    assert main_text(f"<article><p>{PARA}</p><p {attrs}>{PARA} gone</p></article>") == PARA
+
+
 def test_hostile_pages_end():
     assert main_text("<div>" * 20_000 + PARA) == PARA
     for html in ("<" * 100_000, "<a " * 30_000, "<p a='" * 20_000, "&" * 100_000, "<!--" * 30_000, "</p>" * 30_000, "<p>" * 30_000):

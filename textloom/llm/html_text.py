@@ -36,7 +36,9 @@ _GOOD_NAME = frozenset("article body content entry main post story text".split()
 _GOOD_ARTICLE = frozenset("article content entry main post story".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, whole, so that no name is looked for in a value or in part of another name.
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|["'].*+|([^\s>]*+)))?""", re.S)
+_ATTRS = frozenset("class id role hidden aria-hidden style".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -101,7 +103,7 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up.tag in same:
                 at = up.parent
-        attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3].strip() else {}
+        attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3]) if a[1].lower() in _ATTRS} if m[3].strip() else {}
         node = Node(tag, attrs, at)
         at.children.append(node)
         if tag in _RAW and not m[3].rstrip().endswith("/"):
