@@ -25,3 +25,8 @@ def test_documents_with_blank_lines_keep_their_paragraphs(spark, tmp_path):
     found = {tuple(r) for r in catalog.QUERIES["paragraphs"](spark, str(tmp_path)).collect()}
     assert found == {(i, k, len(p)) for i, t in enumerate(texts) for k, (_, p) in enumerate(paragraphs(t or ""))}
     assert {i for i, k, _ in found if k} == {1, 2, 7}
+
+
+def test_rare_bigrams_are_counted(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, "one"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["bigram_counts_all"](spark, str(tmp_path)).collect()} == {("a", "b", 2), ("b", "a", 2)}

@@ -150,6 +150,7 @@ WITH w AS (SELECT string_split(text, ' ') AS w FROM documents), b AS (SELECT w[i
 SELECT first, second, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 50
 """)
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of frequent bigrams: those counted at least 50 times. bigram_counts_all has all of them."""
     w = docs(spark, sf_dir).select(F.split("text", " ").alias("w")).where(F.size("w") > 1)
     pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("first"), F.slice("w", 2, F.size("w")).alias("second"))
     return w.select(F.inline(pairs)).groupBy("first", "second").agg(F.count("*").alias("n")).where("n >= 50")
@@ -295,3 +296,14 @@ def midpoint_breaks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.subtitles import midpoint
 
     return docs(spark, sf_dir, "conversations").select("conv_id", "turn", midpoint(F.col("text")).cast("long").alias("break_at")).where("break_at is not null")
+
+
+@query(r"""
+WITH w AS (SELECT string_split(text, ' ') AS w FROM documents), b AS (SELECT w[i] AS first, w[i + 1] AS second FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+SELECT first, second, count(*) AS n FROM b GROUP BY ALL
+""")
+def bigram_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of all bigrams, however rare."""
+    w = docs(spark, sf_dir).select(F.split("text", " ").alias("w")).where(F.size("w") > 1)
+    pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("first"), F.slice("w", 2, F.size("w")).alias("second"))
+    return w.select(F.inline(pairs)).groupBy("first", "second").agg(F.count("*").alias("n"))
