@@ -37,7 +37,9 @@ def test_odd_rows_and_none(spark):
     assert len(out) == len(odd_rows())
     for s in range(3):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
-    assert set(assign(df, slot_map).columns) == set(df.columns)
+    assert set(assign(df, slot_map).columns) == set(df.columns) and len(assign(df, slot_map).columns) == len(df.columns)
+    assert assign(df, slot_map).where("_vs = 'x' and _shard = 'x' and virtual_slot >= 0 and shard < 3").count() == len(odd_rows())
+    assert assign(df.withColumnRenamed('shard', 'SHARD'), slot_map).columns.count('shard') == 1
     slot_map, rows = build_map(none(spark), 3, fresh_path(spark, "m"))
     assert placed(none(spark), slot_map, rows).count() == 0
 

@@ -5,7 +5,9 @@ summed by slot (a fixed number of rows, whatever the input), slots are dealt to
 and every edit of the map is stored as a new version. A change of the number of shards moves as few bytes as it can.
 
 Defined cases: a null text has no bytes and the crc32 of an empty text; rows with null doc_id are spread by their
-text; an empty table gives an empty result; only doc_id and text are read, so further columns cannot clash.
+text; rows that repeat a doc_id share a virtual slot and follow one another in it by text hash; texts are only hashed and
+measured, however long; an empty table gives an empty result; only doc_id and text are read, and assign() carries the
+rest of a row as one value, so no further column clashes.
 """
 
 from __future__ import annotations
@@ -125,11 +127,11 @@ def build_map(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> tu
 
 
 def assign(docs: DataFrame, slot_map: SlotMap) -> DataFrame:
-    """docs with virtual_slot and shard in front of nothing they had: columns of these names are replaced. No row moves."""
+    """docs with virtual_slot and shard added; columns of these names, in any case, are replaced and all others kept. No row moves."""
     mapped = F.broadcast(slot_map.frame(docs.sparkSession).select(F.col("virtual_slot").alias("_vs"), F.col("shard").alias("_shard")))
-    kept = docs.drop("virtual_slot", "shard")
-    keyed = kept.withColumn("_vs", virtual_slot(kept["doc_id"], kept["text"], len(slot_map.shard_of)))
-    return keyed.join(mapped, "_vs").withColumnsRenamed({"_vs": "virtual_slot", "_shard": "shard"})
+    kept = docs.select(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if c.lower() not in ("virtual_slot", "shard")])
+    keyed = kept.select(F.struct("*").alias("_row"), virtual_slot(kept["doc_id"], kept["text"], len(slot_map.shard_of)).alias("_vs"))
+    return keyed.join(mapped, "_vs").select("_row.*", F.col("_vs").alias("virtual_slot"), F.col("_shard").alias("shard"))
 
 
 def placed(docs: DataFrame, slot_map: SlotMap, rows: Sequence[int]) -> DataFrame:
