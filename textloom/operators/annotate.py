@@ -132,3 +132,59 @@ def entity_sentiment(sentences: DataFrame, table: DataFrame, keys: Sequence[str]
     terms = sentences.select(*keys, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
     scored = terms.join(_small(table), "term", "left").groupBy(*keys, "label").agg(F.sum(F.col("weight") + 12).alias("w"))
     return scored.groupBy(*keys).agg(F.max(F.when(F.col("label").isNotNull(), F.struct("w", (-F.col("label")).alias("l")))).alias("m")).select(*keys, F.coalesce(-F.col("m.l"), F.lit(1)).cast("int").alias("sentiment"))
+
+
+def expanded(words: DataFrame, table: DataFrame) -> DataFrame:
+    """words(text, ...) with parts: the words of a multi-word token by table(text, parts), null where it has none.
+
+    A word is looked up as it is, else in lower case, when its parts take its capitals: all of them, or the first
+    letter's. The table is broadcast if it is small.
+    """
+    t = table.groupBy("text").agg(F.min("parts").alias("parts"))
+    own = _small(t.select(F.col("text").alias("_t"), F.col("parts").alias("_own")))
+    low = _small(t.select(F.col("text").alias("_l"), F.col("parts").alias("_low")))
+    joined = words.join(own, words["text"] == F.col("_t"), "left").join(low, F.lower(words["text"]) == F.col("_l"), "left")
+    word = words["text"]
+    capitals = (F.upper(word) == word) & (F.lower(word) != word)
+    first = F.substring(word, 1, 1)
+    opened = F.transform("_low", lambda x, i: F.when(i == 0, F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))).otherwise(x))
+    cased = F.when(capitals, F.transform("_low", F.upper)).when((F.upper(first) == first) & (F.lower(first) != first), opened).otherwise(F.col("_low"))
+    return joined.select(*[words[c] for c in words.columns], F.coalesce("_own", cased).alias("parts"))
+
+
+def word_rows(expanded_words: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row a word of expanded(): the parts, or the word itself, numbered from 1 within keys in the order of the tokens."""
+    parts = F.coalesce("parts", F.array("text"))
+    each = expanded_words.select(*keys, order, F.posexplode(parts).alias("_part", "word"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "_part"))
+    return each.select(*keys, order, place.alias("word_id"), "word")
+
+
+def looked_up(tokens: DataFrame, vocabulary: DataFrame, column: str = "text", unknown: int = 1) -> DataFrame:
+    """tokens with id: of the token as it is, else in lower case, else unknown. vocabulary(entry, id)."""
+    v = vocabulary.groupBy("entry").agg(F.min("id").alias("id"))
+    own = _small(v.select(F.col("entry").alias("_o"), F.col("id").alias("_own")))
+    low = _small(v.select(F.col("entry").alias("_l"), F.col("id").alias("_low")))
+    kept = [tokens[c] for c in tokens.columns if c != "id"]
+    joined = tokens.join(own, tokens[column] == F.col("_o"), "left").join(low, F.lower(tokens[column]) == F.col("_l"), "left")
+    return joined.select(*kept, F.coalesce("_own", "_low", F.lit(unknown)).alias("id"))
+
+
+def disambiguated(words: DataFrame, targets: Sequence[str], table: DataFrame, keys: Sequence[str], order: str = "word_id") -> DataFrame:
+    """words with the lemma of each of the target words chosen by its neighbour's part of speech, from table(text, next_upos, lemma).
+
+    A word that is no target, or whose case the table lacks, keeps its lemma.
+    """
+    after = F.lead("upos").over(Window.partitionBy(*keys).orderBy(order))
+    named = words.withColumns({"_after": F.coalesce(after, F.lit("")), "_low": F.lower("text")})
+    t = _small(table.select(F.col("text").alias("_low"), F.col("next_upos").alias("_after"), F.col("lemma").alias("_lemma")))
+    joined = named.join(t, ["_low", "_after"], "left")
+    return joined.withColumn("lemma", F.when(F.col("_low").isin(*targets), F.coalesce("_lemma", "lemma")).otherwise(F.col("lemma"))).select(*words.columns)
+
+
+def neighbour_table(words: DataFrame, targets: Sequence[str], keys: Sequence[str], order: str = "word_id") -> DataFrame:
+    """(text, next_upos, lemma): the most frequent lemma of each target word before each part of speech."""
+    after = F.lead("upos").over(Window.partitionBy(*keys).orderBy(order))
+    seen = words.select(F.lower("text").alias("text"), F.coalesce(after, F.lit("")).alias("next_upos"), "lemma").where(F.col("text").isin(*targets))
+    counted = seen.groupBy("text", "next_upos", "lemma").agg(F.count("*").alias("n"))
+    return counted.groupBy("text", "next_upos").agg(F.min(F.struct((-F.col("n")).alias("n"), "lemma")).alias("m")).select("text", "next_upos", "m.lemma")

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .documents import SENTENCE, Sentence, Token, Word, sentence_array
+from .documents import SENTENCE, WORD, Sentence, Token, Word, sentence_array
 
+#: Sentences a worker holds before it passes them on.
+ROWS = 1024
 _ESCAPES = {" ": "\\s", "\t": "\\t", "\r": "\\r", "\n": "\\n", "|": "\\p", "\\": "\\\\", " ": "\\u00A0"}
 _UNESCAPES = {v: k for k, v in _ESCAPES.items()}
 _ESCAPED = re.compile(r"\\u00A0|\\[strnp\\]")
@@ -160,10 +162,17 @@ def sentences(files: DataFrame, key: str = "path", content: str = "value", reade
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, t in enumerate(batch.column(1).to_pylist()):
+            owner: list[int] = []
+            places: list[int] = []
+            held: list[Sentence] = []
+            for n, t in enumerate([*batch.column(1).to_pylist(), None]):
                 own = reader(t) if t else []
-                if own:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n] * len(own), pa.int64())), pa.array(range(len(own)), pa.int32()), sentence_array(own)], names=[key, "sent_idx", "sentence"])
+                owner += [n] * len(own)
+                places += range(len(own))
+                held += own
+                if held and (len(held) >= ROWS or n == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), sentence_array(held)], names=[key, "sent_idx", "sentence"])
+                    owner, places, held = [], [], []
 
     return files.select(key, content).mapInArrow(run, out)
 
@@ -181,6 +190,22 @@ def words(parsed: DataFrame) -> DataFrame:
     return toks.select(*keep, "token_idx", F.col("t.text").alias("token"), F.col("t.ner").alias("ner"), F.explode("t.words").alias("w")).select(*keep, "token_idx", "token", "ner", *[F.col(f"w.{c}").alias({"id": "word_id"}.get(c, c)) for c in ("id", "text", "lemma", "upos", "xpos", "feats", "head", "deprel", "start_char", "end_char")])
 
 
+def from_words(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sent_idx, sentence of rows(key, word_id, text, start_char, end_char, ...): words() backwards, in the JVM.
+
+    Each key is one sentence of one-word tokens in the order of word_id, a blank between them; of a word's further fields
+    (lemma, upos, xpos, feats, head, deprel, ner, coref) those that rows has are taken.
+    """
+    have = {c for c in rows.columns}
+    pick = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
+    word = F.struct(F.col("word_id").cast("int").alias("id"), F.lit(None).cast("int").alias("empty_index"), F.col("text"), *[pick(c, "string") for c in ("lemma", "upos", "xpos", "feats")], pick("head", "int"), pick("deprel", "string"), *[pick(c, "int") for c in ("start_char", "end_char")], pick("coref", "string"))
+    token = F.struct(F.col("text"), *[pick(c, "int") for c in ("start_char", "end_char")], F.lit(" ").alias("space_after"), F.lit("").alias("spaces_before"), pick("ner", "string"), F.lit(False).alias("is_mwt"), F.array(word).alias("words"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("word_id", token.alias("t")))), lambda x: x["t"])
+    whole = rows.groupBy(key).agg(tokens.alias("tokens"))
+    fields = [F.lit(None).cast("string").alias("sent_id"), F.array_join("tokens.text", " ").alias("text"), F.lit(None).cast("string").alias("constituency"), F.lit(None).cast("int").alias("sentiment"), F.col("tokens"), F.array().cast(f"array<{WORD}>").alias("empty")]
+    return whole.select(key, F.lit(0).alias("sent_idx"), F.struct(*fields).alias("sentence"))
+
+
 def feats_map(c: Column) -> Column:
     return F.str_to_map(c, F.lit("\\|"), F.lit("="))
 
