@@ -64,7 +64,7 @@ def odd(spark, extra: bool = True):
     """The odd rows with further columns whose names operators use inside."""
     df = spark.createDataFrame(odd_rows(), SCHEMA)
     if extra:
-        names = ("key", "rep", "n", "component", "_k", "_row", "_p", "size", "taken", "times", "pattern", "shard", "virtual_slot", "kept", "_h", "row", "h1", "sources", "clean", "_gone")
+        names = ("key", "rep", "n", "component", "_k", "_row", "_p", "size", "taken", "times", "pattern", "shard", "virtual_slot", "kept", "_h", "row", "h1", "sources", "clean", "_gone", "whole", "q", "rest", "_bin", "_vs", "_shard", "_q", "_end", "_share", "_plan", "_pattern", "_copy", "prefix", "h", "text_signature", "words")
         df = df.withColumns({c: F.lit("x") for c in names})
     return df
 

@@ -75,3 +75,34 @@ def test_odd_rows(spark):
     assert mixed_documents(none(spark)).count() == 0
     sized = df.select("doc_id", F.lit(0).cast("long").alias("size"), F.array("source").alias("sources"))
     assert {r.taken for r in mix(sized).collect()} == {0} and mix(sized).count() == len(odd_rows())
+
+
+def test_names_ties_and_equal_rows(spark):
+    """Columns named like those used inside stay; rows that differ in one column only are told apart, equal ones drawn among."""
+    df = odd(spark).withColumns({"taken": F.lit("x"), "size": F.lit(3).cast("long"), "sources": F.array("source")})
+    out = mix(df)
+    assert set(out.columns) == set(df.columns) | {"source_size", "target", "times"} and out.where("whole = 'x' and rest = 'x' and _bin = 'x' and _h = 'x'").count() == len(odd_rows())
+    rows = [(7, f"text {i}", "a" if i % 4 else "b") for i in range(4000)]
+    ties = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    once, again = (sorted((r.text, r.source) for r in mixed_documents(ties).collect()) for _ in range(2))
+    assert once == again and abs(len(once) - 6000) <= 2
+    same = spark.createDataFrame([(None, "one two", "a")] * 4000 + [(1, "one two", "b")], "doc_id long, text string, source string").repartition(4)
+    taken = mixed_documents(same).groupBy("source").count().collect()
+    assert abs(next(r["count"] for r in taken if r.source == "a") - 6000) < 200
+
+
+def test_bound_of_patterns():
+    """As many patterns as the planner takes are routed in seconds."""
+    import random
+    import time
+
+    draw = random.Random(1)
+    patterns = list({tuple(sorted(draw.sample(range(4000), draw.choice((1, 1, 2, 3))))): draw.randint(1, 10**6) for _ in range(60_000)}.items())
+    sizes = [0] * 4000
+    for own, total in patterns:
+        for s in own:
+            sizes[s] += total
+    began = time.perf_counter()
+    flow = route(patterns, [round(t) for t in source_targets(sizes, [(5, 2, 1)[i % 3] for i in range(4000)])])
+    assert time.perf_counter() - began < 60
+    assert all(sum(row.values()) <= total for (_, total), own in zip(patterns, flow, strict=True) for row in own)
