@@ -13,28 +13,73 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where a session has none (tests, a laptop) is a temporary one set."""
+    """The folder of spark.checkpoint.dir. Where a local session (tests, a laptop) has none, a temporary one is set; a cluster without one is refused."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     if conf := spark.conf.get("spark.checkpoint.dir", None):
         sc.setCheckpointDir(conf)
-    else:
+    elif sc.master.split("[")[0] == "local":
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+    else:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows, and bytes, of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session pass texts to Python workers in batches of at most BATCH_ROWS and about BATCH_BYTES; smaller settings stay.
+
+    The defaults, 10,000 rows and 64 MB, are held several times over on both sides of each running task.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder; what follows reads that copy and not df's lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that a join leaves in one task, and, of more, how many of a key's rows share a salt.
+HOT_ROWS, SALT_ROWS = 256, 128
+#: A key with a larger share of all rows than one in so many is salted: so many keys at most, whose salts are broadcast.
+HOT_KEYS = 10_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right by key, without a task that gets all rows of a hot key.
+
+    A key that many rows of left have is dealt over salts by a hash of their column spread, and its rows of right (few:
+    one as a rule) are repeated for each. In all, right grows by one row for every SALT_ROWS rows of left at most.
+    counted, if given, has left's rows of each key as _n, or more.
+    """
+    if counted is None:
+        counted = left.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut(counted.where(F.col("_n") >= HOT_ROWS).select(key, "_n"))
+    many, total = hot.agg(F.count("*"), F.sum("_n")).first()
+    if not many:
+        return left.join(right, key)
+    if many > HOT_KEYS:
+        hot = hot.where(F.col("_n") >= total // HOT_KEYS)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / SALT_ROWS).cast("long").alias("_salts")))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

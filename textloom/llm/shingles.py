@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are hashed together until their bytes pass this; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+#: Texts are hashed together until their bytes pass this; a longer text makes a block of its own, hashed piece by piece.
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,15 +33,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES * 2)
-        have = np.full(size, base, np.uint64)
+    """base to the powers 0 to n - 1, n at most BLOCK_BYTES + 1."""
+    if base not in _powers:
+        have = np.full(BLOCK_BYTES + 1, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= BLOCK_BYTES * 4:
-            _powers[base] = have
-    return have[:n]
+        _powers[base] = have
+    return _powers[base][:n]
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each of the disjoint byte runs data[start:end], given in order; held for at most BLOCK_BYTES at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        if high - low <= BLOCK_BYTES:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[data[low:high]] * _power(_BASE, high - low), out=sums[1:])
+            a, b = starts[i:j] - low, ends[i:j] - low
+            out[i:j] = (sums[b] - sums[a]) * _power(_INVERSE, high - low + 1)[a]
+        else:
+            total = 0
+            for at in range(low, high, BLOCK_BYTES):
+                piece = _BYTE[data[at : min(at + BLOCK_BYTES, high)]]
+                total += int((piece * _power(_BASE, len(piece))).sum(dtype=np.uint64)) * pow(_BASE, at - low, 2**64)
+            out[i] = np.uint64(total % 2**64)
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end; off: the texts' offsets in data."""
+    n = len(data)
+    solid = ~_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:n]
+    last[:-1] &= ~solid[1:] | edge[1:n]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,22 +102,11 @@ def words(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw, offsets = utf8(array)
     for a, b in _blocks(offsets):
         data, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        n = len(data)
-        if not n:
+        if not len(data):
             yield a, np.zeros(0, np.uint64), np.zeros(b - a + 1, np.int64)
             continue
-        solid = ~_SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[off] = True
-        first = solid.copy()
-        first[1:] &= ~solid[:-1] | edge[1:n]
-        last = solid.copy()
-        last[:-1] &= ~solid[1:] | edge[1:n]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield a, hashes, np.searchsorted(starts, off).astype(np.int64)
+        starts, ends = word_bounds(data, off)
+        yield a, segment_hashes(data, starts, ends), np.searchsorted(starts, off).astype(np.int64)
 
 
 def shingles_of(hashes: np.ndarray, width: int) -> np.ndarray:

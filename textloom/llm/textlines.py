@@ -46,16 +46,22 @@ def lines(array: pa.Array) -> Iterator[Lines]:
         end = off[text + 1].copy()
         same = text[1:] == text[:-1]
         end[:-1][same] = start[1:][same] - 1
-        solid = np.flatnonzero(~S._SPACE[data])
-        solid_to = np.append(solid, size)
-        key_start = np.minimum(solid_to[np.searchsorted(solid, start)], end)
-        before = np.searchsorted(solid, end) - 1
-        key_end = np.where(before >= 0, solid_to[before] + 1, 0) if len(solid) else start
-        key_end = np.maximum(key_end, key_start)
-        points = np.zeros(size + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(S._BYTE[data] * S._power(S._BASE, max(size, 1))[:size], out=sums[1:])
-        inverse = S._power(S._INVERSE, size + 1)
-        hashes = S.mix((sums[key_end] - sums[key_start]) * inverse[key_start] + (key_end - key_start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield Lines(a, n, data, text, start, end, key_start, key_end, points[key_end] - points[key_start], hashes)
+        # a key runs from the first word that begins in the line to the last that ends in it; \n is white space, so none crosses lines
+        word_start, word_end = S.word_bounds(data, off) if size else (np.zeros(0, np.int64),) * 2
+        key_start = np.minimum(np.append(word_start, size)[np.searchsorted(word_start, start)], end)
+        key_end = np.maximum(np.concatenate(([0], word_end))[np.searchsorted(word_end, end, "right")], key_start)
+        hashes = S.segment_hashes(data, key_start, key_end)
+        yield Lines(a, n, data, text, start, end, key_start, key_end, _points(data, key_start, key_end), hashes)
+
+
+def _points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points of the byte runs, counted for at most S.BLOCK_BYTES at a time."""
+    before = np.zeros(2 * len(starts), np.int64)
+    places = np.stack((starts, ends), axis=1).ravel()
+    total = i = 0
+    for at in range(0, len(data) + 1, S.BLOCK_BYTES):
+        j = int(np.searchsorted(places, at + S.BLOCK_BYTES))
+        upto = np.concatenate(([0], np.cumsum((data[at : at + S.BLOCK_BYTES] & 0xC0) != 0x80)))
+        before[i:j] = total + upto[places[i:j] - at]
+        total, i = total + int(upto[-1]), j
+    return before[1::2] - before[::2]
