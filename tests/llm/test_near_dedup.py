@@ -70,6 +70,49 @@ def test_graded_edits_of_one_text(spark):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_a_large_group_of_copies_that_hardly_link_with_each_other(spark):
+    """Ten thousand edits of one text, most of them linked with few or none: components by every pair, in blocks."""
+    rng = np.random.default_rng(5)
+    n, size = 10_000, 64
+    masks, rows = np.zeros(n, np.uint64), []
+    for i in range(n):
+        w = [f"w{k}" for k in range(size)]
+        gone = np.zeros(size - 4, bool)
+        for at in rng.choice(size, 1 + int(rng.integers(0, 4)), replace=False) if i else ():
+            w[at] = f"own{i}x{at}"
+            gone[max(0, at - 4) : at + 1] = True
+        masks[i] = sum(1 << k for k in np.flatnonzero(~gone).tolist())
+        rows.append((i, " ".join(w)))
+    parent = np.arange(n)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(0, n, 500):
+        common = np.bitwise_count(masks[a : a + 500, None] & masks[None, :]).astype(np.int64)
+        for x, y in zip(*np.nonzero(common * 100 >= (2 * (size - 4) - common) * 80), strict=True):
+            if (u := find(a + x)) != (v := find(y)):
+                parent[max(u, v)] = min(u, v)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: int(find(i)) for i in range(n)}
+    assert 100 < len({r.component_id for r in found}) < n
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_salted_join(spark, monkeypatch, hot):
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 8 if hot else 1000)
+    monkeypatch.setattr(common, "SALT_ROWS", 4)
+    left = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS key")
+    right = spark.range(250).selectExpr("id AS key", "id * 2 AS twice").union(spark.sql("SELECT 1L, 7L"))
+    out = common.salted_join(left, right, "key", "id")
+    assert sorted(out.columns) == ["id", "key", "twice"]
+    assert sorted(map(tuple, out.select("id", "key", "twice").collect())) == sorted(map(tuple, left.join(right, "key").select("id", "key", "twice").collect()))
+
+
 def test_odd_rows(spark):
     found = near_duplicates(odd(spark), 85).collect()
     assert len(found) == len(odd_rows())

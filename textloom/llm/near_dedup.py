@@ -6,13 +6,18 @@
    representative from here on.
 3. Representatives that share a band key form a bucket. A bucket links its members to one centre and not to each
    other; links that full sets confirm contract the graph. Buckets that still hold several components repeat this with
-   other centres, and what then remains is compared in full, so no link between different components is left out. A
-   pair is formed only if the shingles that each has in common with anyone suffice for a link, less those that its
+   another centre. Members of what then remains are compared only if they share one of their rarest shingles, so many
+   that two sets that can be linked must have one of them in common: no link between different components is left out.
+   A pair is formed only if the shingles that each has in common with anyone suffice for a link, less those that its
    sketch (a bit for each hash of a shingle) proves to be missing in the other.
 4. Components come from a distributed union-find.
 
+Joins whose keys may be hot (a bucket, a centre, a digest, a shingle) are salted where a key has many rows.
+
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; rows with equal doc_id are
-one document; a row with null doc_id takes part in no link and its component is null.
+one document, and of its texts one stands for it in links; a row with null doc_id takes part in no link and its
+component is null; very long texts are hashed piece by piece and whole; only doc_id and text are read, so no further
+column clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut
+from .common import cut, salted_join
 from .components import components
 from .superminhash import signatures
 
@@ -118,8 +123,8 @@ class NearDuplicates:
         step = 4 * self.band
         bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * step, step)) for i in range(self.slots // self.band)])
         exploded = own.select("rep", F.explode(bands).alias("key"))
-        shared = exploded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-        return cut(exploded.join(shared, "key"))
+        shared = cut(exploded.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
+        return cut(salted_join(exploded, shared.select("key"), "key", "rep", shared))
 
     def _shareable(self, sets: DataFrame) -> DataFrame:
         """rep, n, s of the members that can have a link at all: s is the number of their shingles that another member has.
@@ -134,10 +139,31 @@ class NearDuplicates:
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The links (u, v) among pairs(a, b), by the full sets."""
-        full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+        half = salted_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b", "a")
+        full = salted_join(half, sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a", "b", pairs.groupBy("a").agg(F.count("*").alias("_n")))
         common = F.size(F.array_intersect("ga", "gb")).cast("long")
         return full.where(_jaccard(common, F.size("ga").cast("long"), F.size("gb").cast("long"), self.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def _rarest(self, state: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidate pairs, as rows with the columns of two members, of state's members that share one of their rarest shingles.
+
+        With shingles in order of how many members have them, of two sets that can be linked the smaller has one of the
+        common shingles among its first n - 2 * percent * n / (100 + percent), and the larger among its first
+        n - percent * n / 100 (and one more each).
+        """
+        members = state.select("rep", "n", "s", "k", "component").dropDuplicates(["rep"])
+        grams = cut(sets.select(F.col("doc_id").alias("rep"), F.explode("grams").alias("gram")).join(members.select("rep", "n"), "rep"))
+        held = grams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+        shared = salted_join(grams, held, "gram", "rep")
+        alone = grams.groupBy("rep").agg(F.count("*").alias("all")).join(shared.groupBy("rep").agg(F.count("*").alias("some")), "rep").select("rep", (F.col("all") - F.col("some")).alias("alone"))
+        # shingles of one member alone come first in the order and match nothing
+        place = F.col("alone") + F.row_number().over(Window.partitionBy("rep").orderBy("held", "gram"))
+        ranked = cut(shared.join(alone, "rep").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).select("gram", "rep", "n", "place"))
+        small = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * self.percent) / (100 + self.percent)) + 1)
+        left = small.select("gram", "rep").join(members, "rep")
+        right = ranked.select("gram", F.col("rep").alias("c")).join(members.select(F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"), F.col("k").alias("kc")), "c")
+        return salted_join(cut(left), cut(right), "gram", "rep").where("component <> cc and (n < nc or n = nc and rep <> c)")
+
     def links(self, reps: DataFrame) -> DataFrame | None:
         buckets = self._buckets(reps)
         members = buckets.select(F.col("rep").alias("doc_id")).distinct()
@@ -158,10 +184,9 @@ class NearDuplicates:
             if turn < STAR_ROUNDS:
                 rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("n") - F.col("s")
                 centre = state.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"), F.col("k").alias("kc"))).alias("m")).select("key", "m.c", "m.cc", "m.nc", "m.sc", "m.kc")
-                pairs = state.join(centre, "key").where("component <> cc")
+                pairs = salted_join(state, centre, "key", "rep").where("component <> cc")
             else:
-                other = state.select("key", F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("s").alias("sc"), F.col("k").alias("kc"))
-                pairs = state.join(other, "key").where("component <> cc and rep < c")
+                pairs = self._rarest(state, sets)
             # the largest intersection that they can have, against the one that their sizes ask for
             most = F.least("s", "sc", F.col("n") - _missing("k", "kc"), F.col("nc") - _missing("kc", "k"))
             pairs = pairs.where(most * (100 + self.percent) >= (F.col("n") + F.col("nc")) * self.percent)
@@ -180,7 +205,7 @@ class NearDuplicates:
                 state = buckets.join(found_in.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n")).where("low < high").select("key", "least_n")
             able = F.col("s") * (100 + self.percent) >= (F.col("n") + F.col("least_n")) * self.percent
-            state = cut(state.select("key", "rep", "n", "s", "k", "component").join(mixed, "key").where(able).drop("least_n"))
+            state = cut(salted_join(state.select("key", "rep", "n", "s", "k", "component"), mixed, "key", "rep", buckets.groupBy("key").agg(F.count("*").alias("_n"))).where(able).drop("least_n"))
             if state.isEmpty():
                 break
         return found
@@ -192,10 +217,13 @@ class NearDuplicates:
         classes = reps.withColumn("component", F.col("rep"))
         if found is not None:
             classes = reps.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-        live = F.col("n_shingles") > 0
-        joined = self.base.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "component"), ["h1", "h2"], "left")
-        mine = F.when(F.col("doc_id").isNotNull(), F.when(live, F.col("component")).otherwise(F.col("doc_id")))
-        return joined.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(mine == F.col("doc_id"), F.lit(False)).alias("kept"))
+        # texts without words, all alike, are in no class, and rows without doc_id in none that is told
+        live = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        digest = F.struct("h1", "h2").alias("digest")
+        named = self.base.where(live).select("doc_id", "n_shingles", digest, F.monotonically_increasing_id().alias("_row"))
+        joined = salted_join(named, classes.select(digest, F.col("component").alias("component_id")), "digest", "_row").select("doc_id", "n_shingles", "component_id")
+        rows = joined.unionByName(self.base.where(~live).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
