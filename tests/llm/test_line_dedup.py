@@ -5,9 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from textloom.llm.line_dedup import dedup_lines, seen_twice
+from textloom.llm.line_dedup import OP3_SQL, dedup_lines, filter_bits, seen_twice
 
-from .helpers import docs, low, none, odd, odd_rows
+from .helpers import LINE, docs, low, none, odd, odd_rows
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -57,5 +57,20 @@ def test_digest(spark):
         assert r.kept_text == hashlib.sha256(by[r.doc_id].encode()).hexdigest()
 
 
-def test_filter_size_is_fixed(spark):
+def test_filter_size_follows_the_texts(spark):
     assert len(seen_twice(docs(spark).select("text"), bits=1 << 18)) == 1 << 15
+    room = sum(len((r.text or "").encode()) for r in docs(spark).collect()) // 41
+    assert filter_bits(docs(spark).select("text"), 40) == max(1 << 18, 1 << (4 * room).bit_length())
+    assert filter_bits(none(spark), 40) == 1 << 18
+
+
+def test_rows_that_repeat_a_doc_id_in_operator_and_sql(spark):
+    """Every row is a document of its own in both."""
+    import duckdb
+
+    rows = [(i, t) for i, t, *_ in odd_rows()] + [(30, f"{LINE}\nb")] * 3 + [(30, f"other\n{LINE}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(df, bits=1 << 18, digest=True).collect()), key=str)
+    documents = df.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    assert found == sorted(duckdb.sql(OP3_SQL).fetchall(), key=str)
+    assert plain(dedup_lines(df, bits=1 << 18).collect()) == sorted(brute(rows), key=str)

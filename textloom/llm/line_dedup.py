@@ -1,16 +1,20 @@
 """Line dedup across documents with two Bloom filters.
 
-1. Workers hash the keys of their long lines into two filters of fixed size: one of keys seen once, one of keys seen in
+1. Workers hash the keys of their long lines into two filters of one size: one of keys seen once, one of keys seen in
    two documents. Merged bit by bit (a bit set by two workers counts as seen twice), no key of two documents can be
    missing from the second filter.
-2. That filter, of fixed size, is broadcast. Only lines it suspects are shuffled, with their whole key and after
+2. That filter is broadcast. Only lines it suspects are shuffled, with their whole key and after
    partial aggregation, to count documents exactly and find the one that keeps them.
 3. The repeated keys are then looked up by hash and compared in full. If they fit BROADCAST_BYTES they are broadcast and
    no text moves; else they are joined to their documents.
 
-FILTER_BITS bounds memory, not the result: past about FILTER_BITS / 4 different lines more lines are suspected in vain.
-Defined cases: null and empty texts have one empty line, which stays; every row counts as a document; a key's last
-holder is the largest doc_id, null counting as smallest; several rows with that doc_id all keep it.
+The filters have four bits for each long line that the texts have room for, FILTER_BITS at most. That bounds memory
+(32 MB each), not the result: past about FILTER_BITS / 4 different lines more lines are suspected in vain.
+
+Defined cases: null and empty texts have one empty line, which stays; every row counts as a document, also one that
+repeats a doc_id; a key's last holder is the largest doc_id, null counting as smallest; several rows with that doc_id
+all keep it; very long texts and lines are hashed piece by piece and whole; an empty table gives no rows; only doc_id
+and text are read, so no further column clashes.
 """
 
 from __future__ import annotations
@@ -27,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .textlines import Lines, lines
 
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 18
-HASHES = 2
 BROADCAST_BYTES = 32 << 20
 
 
@@ -51,19 +54,21 @@ def _long(block: Lines, points: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fill(batches: Iterator[pa.RecordBatch], points: int, bits: int) -> Iterator[pa.RecordBatch]:
-    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for batch in batches:
         for block in lines(batch.column(0)):
             _, hashes = _long(block, points)
             hashes, counts = np.unique(hashes, return_counts=True)
             at = _bits(hashes, bits)
-            again = (counts > 1) | once[at].all(axis=0)
-            twice[at[:, again]] = True
-            once[at] = True
-    step = min(SEGMENT_BITS, bits)
-    rows = [(i, *(zlib.compress(np.packbits(x[i * step : (i + 1) * step]).tobytes(), 1) for x in (once, twice))) for i in range(bits // step) if once[i * step : (i + 1) * step].any()]
-    for i in range(0, len(rows), 64):
-        a, b, c = zip(*rows[i : i + 64], strict=True)
+            place, mask = at >> 3, (1 << (7 - (at & 7))).astype(np.uint8)
+            again = (counts > 1) | (once[place] & mask).astype(bool).all(axis=0)
+            np.bitwise_or.at(twice, place[:, again], mask[:, again])
+            np.bitwise_or.at(once, place, mask)
+    step = min(SEGMENT_BITS, bits) // 8
+    full = np.flatnonzero(once.reshape(-1, step).any(axis=1)).tolist()
+    for i in range(0, len(full), 64):
+        a = full[i : i + 64]
+        b, c = ([zlib.compress(x[j * step : (j + 1) * step].tobytes(), 1) for j in a] for x in (once, twice))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["segment", "once", "twice"])
 
 
@@ -81,8 +86,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(b.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
 
 
-def seen_twice(texts: DataFrame, points: int = 40, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_bits(texts: DataFrame, points: int) -> int:
+    """A power of two: four bits for each line of so many code points that the texts have room for, within bounds."""
+    room = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (points + 1)
+    return min(FILTER_BITS, max(SEGMENT_BITS, 1 << (4 * room).bit_length()))
+
+
+def seen_twice(texts: DataFrame, points: int = 40, bits: int | None = None) -> np.ndarray:
     """The filter of keys in two texts or more, as packed bits."""
+    bits = bits or filter_bits(texts, points)
     parts = texts.mapInArrow(lambda it: _fill(it, points, bits), "segment int, once binary, twice binary")
     n = max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = parts.repartition(n, "segment").mapInArrow(_merge, "segment int, twice binary")
@@ -98,7 +110,7 @@ def _test(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def suspects(docs: DataFrame, points: int = 40, bits: int = FILTER_BITS) -> DataFrame:
+def suspects(docs: DataFrame, points: int = 40, bits: int | None = None) -> DataFrame:
     """doc_id and key of every long line that may stand in several texts, once for each text."""
     twice = docs.sparkSession.sparkContext.broadcast(seen_twice(docs.select("text"), points, bits))
 
@@ -113,7 +125,7 @@ def suspects(docs: DataFrame, points: int = 40, bits: int = FILTER_BITS) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key string")
 
 
-def repeated_keys(docs: DataFrame, points: int = 40, documents: int = 5, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def repeated_keys(docs: DataFrame, points: int = 40, documents: int = 5, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The suspected lines, and key, last (the doc_id that keeps it) of keys in at least so many documents."""
     found = cut(suspects(docs, points, bits))
     counted = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= documents)
@@ -168,7 +180,7 @@ def _rows(batch: pa.RecordBatch, repeats: _Repeats, digest: bool) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), last], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
 
-def dedup_lines(docs: DataFrame, points: int = 40, documents: int = 5, bits: int = FILTER_BITS, broadcast_bytes: int = BROADCAST_BYTES, digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, points: int = 40, documents: int = 5, bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, digest: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text (or its SHA-256 if digest) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, repeated = repeated_keys(docs, points, documents, bits)
@@ -197,12 +209,12 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH l AS (SELECT doc_id, i, line, lower_ascii AS key FROM (
-  SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line,
-    unnest(list_transform(ls, lambda x: translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS lower_ascii
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
-SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k.last <> l.doc_id) AS n_dropped,
-  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE k.last IS NULL OR k.last = l.doc_id), '')) AS kept_sha256
-FROM l LEFT JOIN k USING (key) GROUP BY l.doc_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line,
+    unnest(list_transform(ls, lambda x: translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS key FROM d),
+k AS (SELECT key, max(doc_id) AS last, true AS repeated FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+x AS (SELECT l.*, coalesce(repeated, false) AND last IS DISTINCT FROM l.doc_id AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM x GROUP BY r, doc_id
 """
