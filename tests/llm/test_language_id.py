@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
-from textloom.llm.language_id import LanguageModel, identify, op4_language_id, with_language
+from textloom.llm.language_id import BUCKETS, SMOOTHING, LanguageModel, identify, op4_language_id, with_language
 
 from .helpers import docs, none, odd, odd_rows
 
@@ -48,3 +50,42 @@ def test_odd_rows(spark):
     empty = LanguageModel.fit(none(spark))
     assert identify(none(spark), empty).count() == 0
     assert {r.lang_pred for r in identify(odd(spark), empty).collect()} == {"und"}
+
+
+def _plain_grams(text: str) -> list[int]:
+    """The buckets of a text's n-grams, one by one."""
+    points = [ord(c) for c in text.lower()]
+    symbols = [p if chr(p).isalpha() else 32 for p in points]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            if any(chr(p).isalpha() for p in points[i : i + n]):
+                h = 0
+                for s in symbols[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + (s + 1) * 0xBF58476D1CE4E5B9) % 2**64
+                h = (h ^ (h >> 29)) * 0x94D049BB133111EB % 2**64
+                out.append((h >> 40) % BUCKETS)
+    return out
+
+
+def test_equals_plain_naive_bayes(spark):
+    """Counts, smoothing and scores of every document, with dictionaries; the sample takes all labelled rows of so small a table."""
+    rows = [(r.doc_id, r.lang, r.text) for r in docs(spark).collect()] + [(10**6 + i, lang, text) for i, (_, text, lang, *_) in enumerate(odd_rows()) if lang]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    counts: dict[str, Counter] = {}
+    for i, lang, text in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(_plain_grams(text))
+    totals = {x: sum(c.values()) + SMOOTHING * BUCKETS for x, c in counts.items()}
+    found = {r.doc_id: r for r in identify(df, LanguageModel.fit(df, rows=1 << 20)).collect()}
+    for i, _, text in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        grams = Counter(_plain_grams(text))
+        score = {x: sum(n * math.log((counts[x][g] + SMOOTHING) / totals[x]) for g, n in grams.items()) for x in sorted(counts)}
+        best = max(score.values())
+        near = [x for x, s in score.items() if s > best - 1e-3 - 1e-6 * abs(best)]
+        assert found[i].lang_pred in near
+        if len(near) == 1:
+            assert abs(found[i].score - 1 / sum(math.exp(s - best) for s in score.values())) < 1e-3

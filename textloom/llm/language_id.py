@@ -8,7 +8,9 @@ The model is fitted on a bounded sample: about TRAIN_ROWS rows of each language,
 crc32(doc_id) mod 5 is not 0. Scoring reads every whole text.
 
 Defined cases: `und` with score 0 for a null text, a text without letters, or where no row is labelled; a null doc_id
-counts as held out; ties go to the first language in order.
+counts as held out; ties go to the first language in order; rows are scored alone, so repeated rows score alike; a very
+long text is scored whole, in a block of its own; an empty table gives no rows; identify() reads doc_id and text only,
+with_language() carries the rest of a row as one value, so no further column clashes.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .common import table
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 2000
-#: More languages than this are refused: the matrix, 0.5 MB a language, is held by the driver and by every worker.
-LANGUAGES = 512
+#: More languages than this are refused: the matrix, 0.25 MB a language, is held by the driver and by every worker (32 MB).
+LANGUAGES = 128
 SMOOTHING = 0.5
 #: Code points scored together; a longer text makes a block of its own.
 BLOCK = 1 << 18
@@ -98,10 +100,26 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each language's counts as one row of bytes; all rows of a language are in one partition."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        for i, lang in enumerate(names.dictionary.to_pylist()):
+            own = names.indices.to_numpy() == i
+            total.setdefault(lang, np.zeros(BUCKETS, np.int64))[batch.column(1).to_numpy()[own]] += batch.column(2).to_numpy()[own]
+    for lang, n in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([n.tobytes()], pa.binary())], names=["lang", "counts"])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _log_prob(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * BUCKETS)).astype(np.float32)
+
+
 class LanguageModel:
     def __init__(self, languages: list[str], log_prob: np.ndarray):
         self.languages, self.log_prob = languages, log_prob
@@ -116,11 +134,12 @@ class LanguageModel:
         draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
         # the sample is drawn where the rows lie: only counts are shuffled
         sample = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
-        counted = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        languages = sorted(counted["lang"].unique())
-        table_ = np.full((len(languages), BUCKETS), SMOOTHING)
-        table_[np.searchsorted(languages, counted["lang"].to_numpy()), counted["bucket"].to_numpy()] += counted["n"].to_numpy()
-        return cls(languages, np.log(table_ / table_.sum(axis=1, keepdims=True)))
+        counted = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        packed = counted.repartition("lang").mapInArrow(_packed, "lang string, counts binary")
+        # one language at a time passes through the driver
+        rows_of = {r.lang: _log_prob(np.frombuffer(r.counts, np.int64)) for r in packed.toLocalIterator()}
+        languages = sorted(rows_of)
+        return cls(languages, np.stack([rows_of[x] for x in languages]) if languages else np.zeros((0, BUCKETS), np.float32))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names: list[str] = []
