@@ -91,3 +91,20 @@ def test_odd_rows(spark):
     assert clean.count() == len(odd_rows()) - 4 and clean.columns == odd(spark).columns
     assert contamination(none(spark), bench).count() == 0
     assert without_benchmark(odd(spark), bench.limit(0)).count() == len(odd_rows())
+
+
+def test_tables_are_held_within_their_bound(monkeypatch):
+    """Items of many sizes and parts of many items: tables are dropped and built anew, and the parts hold all items."""
+    import pyarrow as pa
+
+    from textloom.llm import decontamination as D
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(6 + i % 90))) for i in range(400)]
+    items = D.Items(rows)
+    texts = [" ".join([rows[i][1], "x y z", rows[(i * 7) % 400][1]]) for i in range(400)]
+    whole = [found for _, found in D._scan(pa.array(texts), items)]
+    monkeypatch.setattr(D, "TABLE_BYTES", 1 << 20)
+    small = D.Items(rows)
+    assert [found for _, found in D._scan(pa.array(texts), small)] == whole and len(whole) == 400
+    assert sum(c.table.nbytes for c in small._chunks.values()) <= 1 << 20

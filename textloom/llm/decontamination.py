@@ -10,10 +10,14 @@ average with a deviation of 2.9, so RADIUS is 4.6 deviations beyond. This holds
 turns many bits at once. Where a window or an item has repeated shingles no fingerprint decides: the intersection of
 every window with every item that could reach the threshold is counted exactly, in one pass over the places they share.
 
-Documents are only mapped over; nothing is shuffled. Items are broadcast in parts of at most PART_BYTES, one pass a part.
+Documents are only mapped over; nothing is shuffled. Items are broadcast in parts of at most PART_BYTES and PART_ITEMS,
+one pass over the documents a part: this is made for benchmarks of up to some ten thousand items.
 
 Defined cases: items and texts without words (or null) match nothing; an item of fewer than five words is one shingle
-and matches the same words only; a document shorter than an item is compared as a whole; a null doc_id stays null.
+and matches the same words only; a document shorter than an item is compared as a whole; a null doc_id or item_id stays
+null; of windows equally like an item the first counts; rows that repeat are each found, items that repeat as well; very
+long texts are hashed piece by piece and whole; an empty table of documents gives no rows, an empty benchmark drops
+none; without_benchmark() carries a row as one value, so no further column clashes.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from .common import table
 WIDTH = 5
 PERCENT = 80
 RADIUS, BLOCKS = 23, 4
-#: Items whose block tables are held at a time (8 MB for 256).
+#: Items of one size in a block table (8 MB for 256, 0.25 MB for up to eight), and bytes of tables that a worker holds:
+#: more are built anew when they are needed again.
 CHUNK = 256
-PART_BYTES = 8 << 20
+TABLE_BYTES = 24 << 20
+PART_BYTES, PART_ITEMS = 8 << 20, 4096
 
 
 def simhash(windows: np.ndarray) -> np.ndarray:
@@ -129,16 +135,22 @@ class Items:
         for i, size in enumerate(self.sizes):
             self.by_size.setdefault(size, []).append(i)
         self.prints = prints
-        self._chunks: dict[int, list[tuple[list[int], _Chunk]]] = {}
+        self._chunks: dict[tuple[int, int], _Chunk] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_chunks": {}}
 
-    def chunks(self, size: int) -> list[tuple[list[int], _Chunk]]:
-        if size not in self._chunks:
-            own = self.by_size[size]
-            self._chunks[size] = [(own[i : i + CHUNK], _Chunk(self.prints[own[i : i + CHUNK]], [self.weights[j] for j in own[i : i + CHUNK]])) for i in range(0, len(own), CHUNK)]
-        return self._chunks[size]
+    def chunks(self, size: int) -> Iterator[tuple[list[int], _Chunk]]:
+        """The tables of the items of one size; the least recently used make room for others."""
+        items = self.by_size[size]
+        for i in range(0, len(items), CHUNK):
+            own = items[i : i + CHUNK]
+            chunk = self._chunks.pop((size, i), None) or _Chunk(self.prints[own], [self.weights[j] for j in own])
+            self._chunks[size, i] = chunk
+            held = sum(c.table.nbytes for c in self._chunks.values())
+            while held > TABLE_BYTES and len(self._chunks) > 1:
+                held -= self._chunks.pop(next(iter(self._chunks))).table.nbytes
+            yield own, chunk
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         found = self.gate[(grams >> np.uint64(42)).astype(np.int64)]
@@ -207,7 +219,7 @@ def _parts(benchmark: DataFrame) -> Iterator[Items]:
     rows: list[tuple[int, str | None]] = []
     size = 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if rows and size + len(r.text or "") > PART_BYTES // 4:
+        if rows and (len(rows) >= PART_ITEMS or size + len(r.text or "") > PART_BYTES // 4):
             yield Items(rows)
             rows, size = [], 0
         rows.append((r.item_id, r.text))
