@@ -109,3 +109,41 @@ def test_odd_rows(spark):
 def test_hostile_texts_end():
     for text in ("eyJ" * 50_000, "AKIA" * 50_000, "-----BEGIN RSA PRIVATE KEY-----" * 5_000, "password=" * 30_000, "0" * 200_001, "M" * 200_000, "." * 200_000):
         scan(text.encode())
+
+
+def _field(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+def test_openssh_containers_are_parsed():
+    head = b"openssh-key-v1\0"
+    public = _field(b"ssh-ed25519", bytes(range(32)))
+    whole = head + _field(b"none", b"none", b"") + (1).to_bytes(4, "big") + _field(public, bytes(90))
+    assert kinds(base64.b64encode(whole).decode()) == [5]
+    for bad in (head + bytes(60), whole[:-3], whole + b"xyz", whole.replace((1).to_bytes(4, "big") + _field(public), (9).to_bytes(4, "big") + _field(public))):
+        assert kinds(base64.b64encode(bad).decode()) == []
+
+
+def test_glued_wrapped_and_url_keys():
+    run = base64.b64encode(KEY).decode().rstrip("=")
+    for before, after in (("abc", ""), ("", "Zz0"), ("QUJD", "tail0"), ("x/", "y")):
+        text = before + run + after
+        found = [(a, b) for a, k, b in scan(text.encode()) if k == 5]
+        assert found and found[0][0] == len(before) and found[0][1] >= len(before) + len(run) - 1, (before, after)
+    wide = base64.b64encode(KEY).decode()
+    for eol in ("\n", "\r\n"):
+        lines = eol.join(wide[i : i + 64] for i in range(0, len(wide), 64))
+        assert [(a, b) for a, k, b in scan(f"key {lines} end".encode()) if k == 5] == [(4, 4 + len(lines))]
+    key = _der(_int(b"\0"), *[_int(bytes([251]) * 64) for _ in range(8)])
+    url = base64.urlsafe_b64encode(key).decode()
+    assert ("-" in url or "_" in url) and kinds(url) == [5]
+    assert kinds("MIIB" * 300) == [] and kinds("A" * 500) == [] and kinds(("QUFB" * 16 + "\n") * 30) == []
+
+
+def test_time_of_hostile_runs():
+    import time
+
+    for text in ("MIIB" * 250_000, "AAAAB" * 200_000, ("Q" * 64 + "\n") * 15_000, "MI" * 400_000, "M_" * 400_000):
+        began = time.process_time()
+        scan(text.encode())
+        assert time.process_time() - began < 10

@@ -5,8 +5,9 @@ keys and dotted tokens, are reported only if what they encode holds together: DE
 parents to the byte and which carries key material, SSH keys whose length-prefixed fields add up, tokens whose first
 part is a JSON header that names an algorithm.
 
-Whole texts are scanned as UTF-8 bytes; spans are code points, end exclusive. A null text is an empty one; rows only
-map, so repeated rows, null ids and further columns have no effect on one another.
+Whole texts, however long, are scanned as UTF-8 bytes; spans are code points, end exclusive. A null text is an empty
+one; rows only map, so repeated rows, null ids and further columns have no effect on one another; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ _ARMOUR = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----
 _BLANK = re.compile(rb"\n[ \t\r]*\n")
 _CRC = re.compile(rb"\n[ \t]*=[A-Za-z0-9+/]{4}\s*\Z")
 _B64 = re.compile(rb"[A-Za-z0-9+/]{40,}+={0,2}")
+#: What may stand between the lines of wrapped base64, its last line, and base64 in the alphabet of URLs.
+_EOL = re.compile(rb"\r?\n[\x20\t]*+")
+_LAST = re.compile(rb"\r?\n[\x20\t]*+[A-Za-z0-9+/]++={0,2}")
+_URL64 = re.compile(rb"[A-Za-z0-9_-]{40,}+={0,2}")
+#: How encoded keys begin: a DER sequence with a long length, OpenSSH's container, a field of an algorithm's name.
+_KEY_START = re.compile(rb"(?=M[IE]|b3BlbnNzaC1rZXktdjE|AAAA[BCDE])")
+_OPENSSH = b"openssh-key-v1\0"
 _HEXKEY = re.compile(rb"[0-9a-fA-F]{64,}")
 
 
@@ -72,10 +80,32 @@ def is_der_key(data: bytes) -> bool:
     return len(data) >= 24 and data[0] == 0x30 and der_fills(data, 0, len(data)) >= 3 and (0x02 in data[2:8] or 0x06 in data[2:12])
 
 
+def _is_openssh(data: bytes) -> bool:
+    """Cipher, key derivation and its options, the number of keys, so many public keys, and the private part, to the last byte."""
+    at, fields, keys = len(_OPENSSH), 0, 0
+    while fields < 4 + keys:
+        if at + 4 > len(data):
+            return False
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if fields == 3:
+            keys = size
+            if not 1 <= keys <= 64:
+                return False
+        elif at + size > len(data) or fields < 2 and not size:
+            return False
+        else:
+            at += size
+        fields += 1
+    if at + 4 > len(data):
+        return False
+    size = int.from_bytes(data[at : at + 4], "big")
+    return size > 0 and at + 4 + size == len(data)
+
+
 def is_ssh_key(data: bytes) -> bool:
     """Length-prefixed fields to the last byte, the first an algorithm's name; or OpenSSH's own container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    if data.startswith(_OPENSSH):
+        return _is_openssh(data)
     at = fields = 0
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
@@ -150,6 +180,46 @@ def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
 
+def _wrapped(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Runs of base64 that go on over line breaks, if they may begin a key."""
+    start = end = -1
+    for m in [*_B64.finditer(raw), None]:
+        gap = m and end >= 0 and _EOL.match(raw, end)
+        if gap and gap.end() == m.start():
+            end = m.end()
+            continue
+        if start >= 0 and raw[start : start + 1] in b"MA" or start >= 0 and raw.startswith(b"b3Bl", start):
+            last = _LAST.match(raw, end)
+            if last or b"\n" in raw[start:end]:
+                yield start, last.end() if last else end
+        if m:
+            start, end = m.start(), m.end()
+
+
+def _glued(run: bytes, at: int) -> list[tuple[int, int]]:
+    """Keys in DER inside a run of base64, with other characters before or after: the length at a key's start says where it ends."""
+    out, free = [], 0
+    for m in _KEY_START.finditer(run):
+        head = _unpad(run[m.start() : m.start() + 8])
+        if m.start() < free or not head or head[0] != 0x30 or len(head) < 6:
+            continue
+        k = head[1] & 0x7F if head[1] & 0x80 else 0
+        # a key opens with a number or another sequence
+        if k > 3 or head[2 + k] not in (0x02, 0x30):
+            continue
+        size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+        chars = -(-size * 4 // 3)
+        if size < 48 or m.start() + chars > len(run):
+            continue
+        data = _unpad(run[m.start() : m.start() + -(-chars // 4) * 4])
+        if data is None or len(data) < size:
+            data = _unpad(run[m.start() : m.start() + chars])
+        if data and is_der_key(data[:size]):
+            out.append((at + m.start(), at + m.start() + chars))
+            free = m.start() + chars
+    return out
+
+
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span in a text's UTF-8 bytes, by start, then kind; base kinds overlap others freely."""
     found = []
@@ -170,10 +240,24 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
             if opaque or (data is not None and is_pgp_key(data) if label.endswith(b"BLOCK") else _is_key(data)):
                 found.append((start, 4, end))
                 armoured.append((start, end))
+    taken = list(armoured)
+
+    def keep(start: int, end: int) -> None:
+        if not any(a <= start < b for a, b in taken):
+            found.append((start, 5, end))
+            taken.append((start, end))
+
+    for start, end in _wrapped(raw) if b"\n" in raw else ():
+        if _is_key(_unpad(re.sub(rb"\s", b"", raw[start:end]))):
+            keep(start, end)
     for m in _B64.finditer(raw):
-        if m[0][:1] in b"MA" or m[0].startswith(b"b3Bl"):
-            if _is_key(_unpad(m[0])) and not any(a <= m.start() < b for a, b in armoured):
-                found.append((m.start(), 5, m.end()))
+        whole = (m[0][:1] in b"MA" or m[0].startswith(b"b3Bl")) and _is_key(_unpad(m[0]))
+        for start, end in [(m.start(), m.end())] if whole else _glued(m[0], m.start()):
+            keep(start, end)
+    if b"_" in raw or b"-" in raw:
+        for m in _URL64.finditer(raw):
+            if (b"_" in m[0] or b"-" in m[0]) and _KEY_START.match(m[0]) and _is_key(_unpad(m[0], url=True)):
+                keep(m.start(), m.end())
     for m in _HEXKEY.finditer(raw):
         if m[0][:2] in (b"30", b"00") and len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0].decode())):
             found.append((m.start(), 6, m.end()))
