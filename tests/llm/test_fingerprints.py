@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import struct
 from collections import Counter
 
+import xxhash
+
 from textloom.llm.fingerprints import SAMPLES, compared, fingerprints
 
 from .helpers import docs, none, odd, odd_rows, words
@@ -56,3 +60,49 @@ def test_no_python_in_the_plan(spark):
     for df in (compared(docs(spark)), fingerprints(docs(spark))):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def _hash(*values, seed: int = 42) -> int:
+    """xxhash64 of columns in turn: strings as UTF-8, longs as eight bytes, ints as four."""
+    for kind, v in values:
+        raw = v.encode() if kind == "s" else struct.pack("<q" if kind == "l" else "<i", v)
+        seed = xxhash.xxh64_intdigest(raw, seed % 2**64)
+    return seed
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _plain_signature(text: str) -> list[str]:
+    """Consistent weighted sampling of a text's words, drawn one by one from its definition."""
+    out = []
+    weights = Counter(words(text))
+    for k in range(SAMPLES):
+        least = None
+        for w, n in weights.items():
+            term = _signed(_hash(("s", w)))
+            a, b = _hash(("l", term), ("i", k)), _hash(("i", k), ("l", term))
+            part = lambda x, shift: ((x >> shift & 0x1FFFFFF) + 0.5) / (1 << 25)
+            r = -math.log(part(a, 39) * part(a, 14))
+            lnc = math.log(-math.log(part(b, 39) * part(b, 14)))
+            beta = ((a & 0x3FFF) * 0x4000 + (b & 0x3FFF)) / (1 << 28)
+            t = math.floor(math.log(n) / r + beta)
+            rank = int((lnc - r * (t - beta) - r + 96.0) * (1 << 21))
+            offer = (rank, _hash(("l", term), ("l", t)) >> 32)
+            least = offer if least is None or offer < least else least
+        out.append(f"{least[1]:08x}")
+    return out
+
+
+def test_signatures_equal_plain_sampling(spark):
+    """Every sample of every document, but for those that the last bit of a logarithm decides."""
+    texts = {r.doc_id: r.text or "" for r in docs(spark).collect()}
+    same = total = 0
+    for r in fingerprints(docs(spark)).collect():
+        plain = _plain_signature(texts[r.doc_id]) if len(texts[r.doc_id]) < 6000 else None
+        if plain is not None:
+            total += len(plain) * bool(words(texts[r.doc_id]))
+            same += sum(r.fingerprint[8 * i : 8 * i + 8] == x for i, x in enumerate(plain)) if r.fingerprint else 0
+            assert bool(r.fingerprint) == bool(words(texts[r.doc_id]))
+    assert total > 3000 and same >= 0.9999 * total

@@ -7,7 +7,9 @@ probability that is the generalised Jaccard similarity of their weighted terms.
 
 Defined cases: a null text is an empty one; a text without words has an empty fingerprint, which is like another empty
 one (1) and unlike all others (0); a null doc_id comes first in order; of rows with equal doc_id the one with the least
-text hash is what the document before them sees as its next; a table of one document is its own next.
+text hash is what the document before them sees as its next; a table of one document is its own next; an empty table
+gives no rows; very long texts are counted whole, their terms row by row; only doc_id and text are read, so no further
+column clashes.
 """
 
 from __future__ import annotations

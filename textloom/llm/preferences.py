@@ -6,7 +6,9 @@ assistant turns' contents with their end mark: the places that count for the los
 
 Defined cases: rows without conv_id belong to no conversation; turns with equal number follow by role and text; null
 role and text are empty; equal conversations share everything, their completions are empty and `same` is true; a
-conversation without assistant turn has no reply to replace and is paired with itself.
+conversation without assistant turn has no reply to replace and is paired with itself; turns that repeat in full count
+each; very long texts are rendered whole; an empty table gives no rows; only conv_id, turn, role and text are read, so
+no further column clashes.
 """
 
 from __future__ import annotations
