@@ -13,7 +13,7 @@ def test_every_turn_has_its_midpoint(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     expected = {(r.conv_id, r.turn, midpoint_of(r.text) + 1) for r in turns if r.text and " " in r.text}
     assert any(len(r.text or "") > 400 for r in turns)
-    assert {tuple(r) for r in catalog.QUERIES["midpoint_breaks_all"](spark, SF).collect()} == expected
+    assert {tuple(r) for r in catalog.QUERIES["midpoint_breaks"](spark, SF).collect()} == expected
     texts = ["", " ", "  ", "a", " a", "a ", "a  b", "\U0001f600 é x", "word " * 100_000, None]
     found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(midpoint("t")).collect()]
     assert found == [None if t is None or " " not in t else midpoint_of(t) + 1 for t in texts]
@@ -29,4 +29,4 @@ def test_documents_with_blank_lines_keep_their_paragraphs(spark, tmp_path):
 
 def test_rare_bigrams_are_counted(spark, tmp_path):
     spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, "one"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in catalog.QUERIES["bigram_counts_all"](spark, str(tmp_path)).collect()} == {("a", "b", 2), ("b", "a", 2)}
+    assert {tuple(r) for r in catalog.QUERIES["bigram_counts"](spark, str(tmp_path)).collect()} == {("a", "b", 2), ("b", "a", 2)}

@@ -23,6 +23,27 @@ def arrow_str(f, returns: str, *types: str):
     return run
 
 
+def arrow_values(f, returns: str):
+    """A per-value Python function as an Arrow UDF of one column of any type; null in, null out."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    held: list = []
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in values.to_pylist()], held[0])
+
+    def call(c: Column) -> Column:
+        # the type is parsed by the session, which is there by now
+        if not held:
+            held.append(to_arrow_type(_parse_datatype_string(returns)))
+        typed = run
+        typed.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        return F.arrow_udf(typed, returns)(c)
+
+    return call
+
+
 def lower(c: Column) -> Column:
     """str.lower: full mappings (İ) and the final sigma."""
     return arrow_str(str.lower, "string")(c)
@@ -45,6 +66,10 @@ def lower_chars(word: str) -> str:
     return "".join(x if len(x := c.lower()) == 1 else "\uffff" for c in word)
 
 
+def lower_chars_column(c: Column) -> Column:
+    return arrow_str(lower_chars, "string")(c)
+
+
 def collapse(c: Column) -> Column:
     """' '.join(text.split())"""
     return F.trim(F.regexp_replace(c, f"(?U)[{PY_SPACE}]+", " "))

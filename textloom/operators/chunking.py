@@ -124,10 +124,11 @@ def chunks(docs: DataFrame, most: int, overlap: int = 0, key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                own = chunk(t or "", most, overlap)
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(own), batch.column(0).type), pa.array(range(len(own)), pa.int32()), pa.array([c.context for c in own]), pa.array([c.content for c in own])], names=[key, "chunk_idx", "context", "content"])
+            found = [chunk(t or "", most, overlap) for t in batch.column(1).to_pylist()]
+            owner = [i for i, own in enumerate(found) for _ in own]
+            flat = [c for own in found for c in own]
+            places = [k for own in found for k in range(len(own))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), pa.array([c.context for c in flat], pa.string()), pa.array([c.content for c in flat], pa.string())], names=[key, "chunk_idx", "context", "content"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_idx int, context string, content string")
 

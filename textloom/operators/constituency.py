@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..sources.trees import Tree
+from ..functions.unicode import arrow_values
+from ..sources.trees import Tree, parse, write
 
 SHIFT, CLOSE = "shift", "close"
 #: Unary nodes in a row that are still legal.
@@ -109,3 +110,20 @@ def build(words: Sequence[tuple[str, str]], steps: Sequence[str], in_order: bool
     for s in steps:
         p.apply(s)
     return p.stack[0]
+
+
+def transitions(in_order: bool = True):
+    """An Arrow UDF: the transitions (array<string>) that build a bracketed tree."""
+    return arrow_values(lambda text: oracle(parse(text), in_order), "array<string>")
+
+
+def built(in_order: bool = True):
+    """An Arrow UDF: the bracketed tree of struct<words:array<struct<word,tag>>,steps:array<string>>; null where a step is not legal."""
+
+    def run(row: dict) -> str | None:
+        try:
+            return write(build([tuple(w.values()) for w in row["words"]], row["steps"], in_order))
+        except ValueError:
+            return None
+
+    return arrow_values(run, "string")

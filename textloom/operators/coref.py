@@ -9,7 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import arrow_values
+from ..sources.conllu import from_row
 from ..sources.documents import Sentence, Word
+from .spans import covered
 
 
 @dataclass(frozen=True)
@@ -165,3 +168,35 @@ def exact_name_chains(entities: DataFrame) -> DataFrame:
     first = entities.groupBy("doc_id", key.alias("k")).agg(F.min("start_char").alias("first"), F.count("*").alias("n")).where("n > 1")
     numbered = first.withColumn("chain", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first", "k")) - 1)
     return entities.withColumn("k", key).join(numbered.select("doc_id", "k", "chain"), ["doc_id", "k"]).drop("k")
+
+
+def attached(words: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """words(keys, word_id, ...) with coref: the marks of mentions(keys, chain, start, end, is_representative), words start to end (from 0, end exclusive).
+
+    An interval join within a sentence, in the JVM: each mention marks its first, last and inner words.
+    """
+    spans = mentions.select(*keys, "chain", F.col("start").alias("_from"), F.col("end").alias("_to"), "is_representative", "start", "end")
+    at = words.select(*keys, "word_id", (F.col("word_id") - 1).alias("_at"))
+    marked = covered(at, spans, keys, "_at")
+    first, last = F.col("_at") == F.col("start"), F.col("_at") == F.col("end") - 1
+    place = F.when(first & last, "unit-").when(first, "start-").when(last, "end-").otherwise("")
+    mark = F.concat(place, F.when(F.col("is_representative"), "repr-").otherwise(""), F.lit("id"), F.col("chain"))
+    joined = marked.groupBy(*keys, "word_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "start", "end", mark.alias("m")))), lambda x: x["m"]), ",").alias("coref"))
+    return words.drop("coref").join(joined, [*keys, "word_id"], "left")
+
+
+def chains_of(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chain, representative_text, sentence, start, end, is_representative of every mention that the words' marks of parsed(key, sent_idx, sentence) say."""
+
+    def one(rows: list[dict]) -> list[dict]:
+        found = rebuild([from_row(r["sentence"]) for r in sorted(rows, key=lambda r: r["sent_idx"])])
+        return [{"chain": c.index, "representative_text": c.text, "sentence": m.sentence, "start": m.start, "end": m.end, "is_representative": i == c.representative} for c in found for i, m in enumerate(c.mentions)]
+
+    chains = arrow_values(one, "array<struct<chain:int,representative_text:string,sentence:int,start:int,end:int,is_representative:boolean>>")
+    grouped = parsed.groupBy(key).agg(F.collect_list(F.struct("sent_idx", "sentence")).alias("_s"))
+    return grouped.select(key, F.explode(chains(F.col("_s"))).alias("_c")).select(key, "_c.*")
+
+
+def size_windows(most: int = 510):
+    """An Arrow UDF: the half-open windows of an array of sentence sizes."""
+    return arrow_values(lambda sizes: [{"start": a, "end": b} for a, b in windows(sizes, most)], "array<struct<start:int,end:int>>")

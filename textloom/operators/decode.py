@@ -6,6 +6,12 @@ import math
 from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.unicode import arrow_values
+from .annotate import Scorer
 
 
 def viterbi(scores: np.ndarray, transitions: np.ndarray) -> list[int]:
@@ -167,13 +173,33 @@ def distance_bucket(d: int) -> int:
     return d - 1 if d < 5 else min(int(math.log2(d)), 6) + 2
 
 
+def distance_buckets(d: Column) -> Column:
+    """distance_bucket as a column."""
+    doubled = F.floor(F.log2(F.greatest(d, F.lit(1)).cast("double"))).cast("int")
+    return F.when(d < 5, d - 1).otherwise(F.least(doubled, F.lit(6)) + 2).cast("int")
+
+
 def top_k(scores: Sequence[float], k: int) -> list[int]:
     """The places of the k largest, NaN above all, ties by place."""
     return sorted(range(len(scores)), key=lambda i: (not math.isnan(scores[i]), -scores[i] if not math.isnan(scores[i]) else 0, i))[:k]
 
 
-def beam(start: Hashable, step: Callable[[tuple], Sequence[tuple[Hashable, float]]], end: Hashable, width: int = 5, most: int = 50) -> tuple[list, float]:
-    """The best sequence by beam search; step gives each next symbol and its log-probability after a prefix."""
+def beam(start: Hashable, step: Callable[[tuple], Sequence[tuple[Hashable, float]]], end: Hashable, width: int = 5, most: int = 50, source: Sequence[Hashable] = (), copy: Callable[[tuple], tuple[float, Sequence[float]]] | None = None) -> tuple[list, float]:
+    """The best sequence by beam search; step gives each next symbol and its log-probability after a prefix.
+
+    With copy a symbol may also be copied from source: copy gives, after a prefix, the probability of copying and the
+    attention to each place of source. A symbol's probability is then the sum of both ways to it.
+    """
+    if copy is not None:
+        plain = step
+
+        def step(prefix: tuple) -> Sequence[tuple[Hashable, float]]:
+            gate, attention = copy(prefix)
+            total: dict[Hashable, float] = {x: (1 - gate) * math.exp(p) for x, p in plain(prefix)}
+            for x, a in zip(source, attention, strict=True):
+                total[x] = total.get(x, 0.0) + gate * a
+            return [(x, math.log(p)) for x, p in total.items() if p > 0]
+
     open_: list[tuple[float, tuple]] = [(0.0, (start,))]
     done: list[tuple[float, tuple]] = []
     for _ in range(most):
@@ -184,3 +210,63 @@ def beam(start: Hashable, step: Callable[[tuple], Sequence[tuple[Hashable, float
             break
     score, seq = max(done or open_, key=lambda c: c[0] / len(c[1]))
     return [x for x in seq[1:] if x != end], score
+
+
+def tag_paths(transitions: np.ndarray):
+    """An Arrow UDF: the best path (array<int>) of a sentence's scores (array<array<double>>) under transitions[from, to]."""
+    return arrow_values(lambda scores: viterbi(np.array(scores, np.float64).reshape(len(scores), -1), transitions), "array<int>")
+
+
+#: Arrow UDFs: a sentence's tags repaired, and the heads of the best tree with one root over scores[dependent, head].
+repaired = arrow_values(repair_tags, "array<string>")
+tree_heads = arrow_values(lambda scores: one_root(np.array(scores, np.float64)), "array<int>")
+
+
+def top_places(k: int):
+    """An Arrow UDF: the places of the k largest of an array of scores."""
+    return arrow_values(lambda scores: top_k([math.nan if x is None else x for x in scores], k), "array<int>")
+
+
+def constrained_trees(names: Sequence[str]):
+    """An Arrow UDF: heads and relations by constrained() of arcs and labels (struct of the two arrays)."""
+
+    def decode(row: dict) -> dict:
+        heads, relations = constrained(np.array(row["arcs"], np.float64), np.array(row["labels"], np.float64), names)
+        return {"heads": heads, "relations": relations}
+
+    return arrow_values(decode, "struct<heads:array<int>,relations:array<string>>")
+
+
+def scored(sentences: DataFrame, scorer: Scorer, transitions: np.ndarray, tags: Sequence[str], column: str = "words") -> DataFrame:
+    """sentences(words array<string>, ...) with tags: the best path under any scorer's matrices, one [words, tags] for each sentence.
+
+    The scorer travels to the workers as it is, is loaded once in each task and sees batches of sentences.
+    """
+    kind = sentences.schema
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields if f.name != "tags"), "tags array<string>"])
+    place = [f.name for f in kind.fields if f.name != "tags"]
+
+    def run(batches):
+        scorer.load()
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            paths = [[tags[t] for t in viterbi(m, transitions)] if w else [] for w, m in zip(own, scorer.score([w or [] for w in own]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(place))), pa.array(paths, pa.list_(pa.string()))], names=[*place, "tags"])
+
+    return sentences.select(*place).mapInArrow(run, out)
+
+
+def windowed(scores: Callable[[Sequence], np.ndarray], items: Sequence, size: int, overlap: int) -> np.ndarray:
+    """Scores of a long sequence from runs of at most size items; of overlapping runs each item takes the one that it lies deeper in."""
+    if len(items) <= size:
+        return scores(items)
+    out, at = None, 0
+    while True:
+        part = scores(items[at : at + size])
+        if out is None:
+            out = np.zeros((len(items), *part.shape[1:]), part.dtype)
+        begin = at + overlap // 2 if at else 0
+        out[begin : at + len(part)] = part[begin - at :]
+        if at + size >= len(items):
+            return out
+        at += size - overlap

@@ -6,6 +6,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.unicode import arrow_values
 
 #: Parts of names that say nothing alone, and words of letters that stand beside names.
 PARTICLES = frozenset(("af", "al", "bin", "da", "de", "del", "der", "di", "du", "el", "ibn", "la", "le", "van", "von"))
@@ -75,10 +79,18 @@ def link(text: str, spans: Iterable[tuple[int, int, str]], blocked: Iterable[tup
         alike = len(words) == 1 and any(same_name(words[0], w) for w in known)
         fixed.append((a, b, person if k in ("ORGANIZATION", "LOCATION", "ORG", "LOC") and alike else k))
     shut = [*((a, b) for a, b, _ in fixed), *blocked, *(m.span() for m in _EMAIL.finditer(text))]
-    added = []
-    for a, b in _runs(text, known):
-        if all(b <= x or y <= a for x, y in shut):
-            added.append((a, b, person))
+    added = [(a, b, person) for a, b in _runs(text, known) if all(b <= x or y <= a for x, y in shut)]
+    # names of places and organisations stand for the same wherever they are repeated
+    seen: dict[str, str] = {}
+    for a, b, k in fixed:
+        if k != person and text[a:b].strip():
+            seen.setdefault(text[a:b], k)
+    shut += [(a, b) for a, b, _ in added]
+    for name, k in sorted(seen.items(), key=lambda x: (-len(x[0]), x[0])):
+        for m in regex.finditer(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(name)}(?![\p{{L}}\p{{N}}])", text):
+            if all(m.end() <= x or y <= m.start() for x, y in shut):
+                added.append((*m.span(), k))
+                shut.append(m.span())
     people = _people([text[a:b] for a, b, k in (*fixed, *added) if k == person])
     everything = sorted([(a, b, k, False) for a, b, k in fixed] + [(a, b, k, True) for a, b, k in added])
     return [Linked(a, b, k, people.get(text[a:b]) if k == person else None, new) for a, b, k, new in everything]
@@ -126,3 +138,14 @@ def person_placeholders(text: str, linked: list[Linked]) -> str:
         out += [text[at : s.start], f"<{s.type}_{s.person}>" if s.person is not None else f"<{s.type}>"]
         at = s.end
     return "".join([*out, text[at:]])
+
+
+def linked(docs: DataFrame, key: str = "doc_id", person: str = "PERSON") -> DataFrame:
+    """key, start, end, type, person, added of the linked spans of docs(key, text, spans array<struct<start, end, type>>)."""
+
+    def one(row: dict) -> list[dict]:
+        spans = [(s["start"], s["end"], s["type"]) for s in row["spans"] or ()]
+        return [{"start": x.start, "end": x.end, "type": x.type, "person": x.person, "added": x.added} for x in link(row["text"] or "", spans, person=person)]
+
+    found = arrow_values(one, "array<struct<start:int,end:int,type:string,person:int,added:boolean>>")(F.struct("text", "spans"))
+    return docs.select(key, F.explode(found).alias("_l")).select(key, "_l.*")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import passes_luhn
+from ..functions.unicode import arrow_values
 from ..sources.documents import Entity
 from ..sources.marked import Gold
 
@@ -177,7 +178,29 @@ def evaluate(text: str, gold: list[Gold], spans: list[Span], names: list[str] |
     return out
 
 
+def numbered(mentions: DataFrame, keys: list[str], kind: str = "type", name: str = "text", order: str = "start") -> DataFrame:
+    """keys, kind, name, placeholder of the distinct mentions of each document: [TYPE-n] in order of first appearance, in the JVM."""
+    first = mentions.groupBy(*keys, kind, name).agg(F.min(order).alias("_first"))
+    rank = F.dense_rank().over(Window.partitionBy(*keys, kind).orderBy("_first", name))
+    return first.select(*keys, kind, name, F.concat(F.lit("["), F.upper(kind), F.lit("-"), rank, F.lit("]")).alias("placeholder"))
+
+
+_SCORE = "struct<" + ",".join(f"{f.name}:int" for f in fields(Score)) + ">"
+
+
+def evaluated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and the score (a column each) of docs(key, text, gold, masks): gold of spans as gold_rows gives them, masks of spans(start, end, type, text)."""
+
+    def one(row: dict) -> dict:
+        gold = [Gold(g["start"], g["end"], g["type"], g["id"], g["text"]) for g in row["gold"] or ()]
+        masks = [Span(m["start"], m["end"], m["type"], "mask", m["text"]) for m in row["masks"] or ()]
+        return asdict(evaluate(row["text"] or "", gold, masks))
+
+    score = arrow_values(one, _SCORE)(F.struct("text", "gold", "masks"))
+    return docs.select(key, score.alias("_s")).select(key, "_s.*")
+
+
 def report(scores: DataFrame) -> DataFrame:
     """scores(run, measure, value) with a column for each run."""
-    runs = [r.run for r in scores.select("run").distinct().orderBy("run").limit(100).collect()]
+    runs = [r.run for r in scores.select("run").distinct().orderBy("run").collect()]
     return scores.groupBy("measure").pivot("run", runs).agg(F.sum("value"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -23,6 +25,16 @@ WINDOW = 5
 CONTEXT_SCORE, CERTAIN = 0.4, 1.0
 
 
+@cache
+def _compiled(pattern: str, ignore_case: bool) -> regex.Pattern:
+    return regex.compile(pattern, regex.I if ignore_case else 0)
+
+
+@cache
+def _any_of(context: tuple[str, ...]) -> regex.Pattern:
+    return regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(regex.escape, context)) or '(?!)'})(?![\p{{L}}\p{{N}}])")
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """kind, (pattern, score) pairs tried in turn, words of context, and a verdict on a matched text."""
@@ -34,7 +46,7 @@ class Recognizer:
     ignore_case: bool = True
 
     def compiled(self) -> list[tuple[regex.Pattern, float]]:
-        return [(regex.compile(p, regex.I if self.ignore_case else 0), s) for p, s in self.patterns]
+        return [(_compiled(p, self.ignore_case), s) for p, s in self.patterns]
 
 
 @dataclass(frozen=True)
@@ -218,19 +230,32 @@ _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}.-]*[\p{L}\p{N}]|[\p{L}\p{N}]")
 THRESHOLD = 0.35
 
 
-def near_context(text: str, start: int, end: int, context: Iterable[str], window: int = WINDOW) -> bool:
+class Words:
+    """The places of a text's words, found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def around(self, start: int, end: int, window: int) -> str:
+        """The window words before the span and those after it, in lower case."""
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        named = lambda a, b: " ".join(self.text[self.starts[i] : self.ends[i]] for i in range(max(0, a), min(b, len(self.starts))))
+        return f" {named(before - window, before)} | {named(after, after + window)} ".lower()
+
+
+def near_context(text: str | Words, start: int, end: int, context: Iterable[str], window: int = WINDOW) -> bool:
     """Whether one of the context's words or phrases stands among the window words before or after the span."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    before = [w for w in words if w[1] <= start][-window:]
-    after = [w for w in words if w[0] >= end][:window]
-    around = f" {' '.join(text[a:b] for a, b in before)} | {' '.join(text[a:b] for a, b in after)} ".lower()
-    return any(regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(c)}(?![\p{{L}}\p{{N}}])", around) for c in context)
+    words = text if isinstance(text, Words) else Words(text)
+    return bool(_any_of(tuple(context)).search(words.around(start, end, window)))
 
 
 def recognize(text: str, recognizers: Iterable[Recognizer] = RECOGNIZERS, today: dt.date | None = None, threshold: float = THRESHOLD) -> list[Hit]:
     """Matches with a verdict other than False whose score, raised by context, reaches the threshold; the best at each span and kind."""
     today = today or dt.date.today()
     best: dict[tuple[int, int, str], Hit] = {}
+    words: Words | None = None
     for r in recognizers:
         for pattern, score in r.compiled():
             for m in pattern.finditer(text):
@@ -238,7 +263,9 @@ def recognize(text: str, recognizers: Iterable[Recognizer] = RECOGNIZERS, today:
                 if verdict is False:
                     continue
                 value = CERTAIN if verdict else score
-                if not verdict and near_context(text, m.start(), m.end(), r.context):
+                if not verdict and r.context:
+                    words = words or Words(text)
+                if not verdict and r.context and near_context(words, m.start(), m.end(), r.context):
                     value = min(CERTAIN, max(score + 0.35, CONTEXT_SCORE))
                 key = (m.start(), m.end(), r.kind)
                 if value >= threshold and (key not in best or best[key].score < value):

@@ -6,6 +6,7 @@ a trained tokenizer can take the rule's place: anything that maps a paragraph to
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -202,12 +203,48 @@ def annotated(docs: DataFrame, run: Callable[[str | None], list[Sentence]] = seg
     return docs.select(key, "text").mapInArrow(each, out)
 
 
+def expanded_rows(docs: DataFrame, table: Mapping[str, list[str]], key: str = "doc_id") -> DataFrame:
+    """annotated() with multi-word tokens expanded by a table."""
+    return annotated(docs, lambda t: expand(segment(t), table), key)
+
+
+def pretokenized_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sent_idx, sentence of docs(key, words array<array<string>>): tokens as given, in their order. An empty sentence or a blank token fails."""
+    return annotated(docs.select(key, F.to_json("words").alias("text")), lambda t: pretokenized(json.loads(t)) if t else [], key)
+
+
 def paragraph_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Paragraphs in the JVM: key, par_idx, paragraph."""
     parts = F.filter(F.transform(F.split("text", f"(?U){BREAK}"), lambda x: F.regexp_replace(x, f"(?U)^[{TOKEN_SPACE}]+|[{TOKEN_SPACE}]+$", "")), lambda x: x != "")
     return docs.select(key, F.posexplode(parts).alias("par_idx", "paragraph"))
 
 
+def _tokens_and_gaps(paragraph: Column) -> Column:
+    """Each token of a paragraph, by the rule's patterns, with the code points of it and of the white space after it."""
+    masks = F.contains(paragraph, F.lit("@")) | F.contains(paragraph, F.lit("http")) | F.contains(paragraph, F.lit("www."))
+    plain = _PLAIN.replace(r"([?!.])\1*", r"\?+|!+|\.+")
+    lists = [F.when(masks, F.regexp_extract_all(paragraph, F.lit(f"(?U)((?:{MASKED})|{plain})[{TOKEN_SPACE}]*"), F.lit(k))).otherwise(F.regexp_extract_all(paragraph, F.lit(f"(?U)({plain})[{TOKEN_SPACE}]*"), F.lit(k))) for k in (1, 0)]
+    return F.zip_with(*lists, lambda token, whole: F.struct(token.alias("token"), (F.length(whole) > F.length(token)).alias("gap")))
+
+
+def sentence_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_sentences, n_tokens of docs(key, text), as annotated() would give them, folded where the row lies in the JVM.
+
+    A sentence ends at closing punctuation, quotes and brackets after it aside, before a blank and what is no small letter.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(False).alias("live"), F.lit(False).alias("open"))
+
+    def step(at: Column, x: Column) -> Column:
+        ends = at["open"] & ~F.substring(x["token"], 1, 1).rlike(r"\p{IsLowercase}")
+        live = F.when(x["token"].isin(*sorted(_CLOSING)), at["live"]).otherwise(F.substring(x["token"], -1, 1).isin(*".!?…。！？"))
+        return F.struct((at["n"] + 1).alias("n"), (at["s"] + ends.cast("long")).alias("s"), live.alias("live"), (live & x["gap"]).alias("open"))
+
+    parts = F.filter(F.transform(F.split("text", f"(?U){BREAK}"), lambda x: F.regexp_replace(x, f"(?U)^[{TOKEN_SPACE}]+|[{TOKEN_SPACE}]+$", "")), lambda x: x != "")
+    folded = F.transform(parts, lambda p: F.aggregate(_tokens_and_gaps(p), start, step))
+    total = F.aggregate(folded, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((a["s"] + x["s"] + 1).alias("s"), (a["n"] + x["n"]).alias("n")))
+    return docs.select(key, total.alias("_t")).where("_t.s > 0").select(key, F.col("_t.s").alias("n_sentences"), F.col("_t.n").alias("n_tokens"))
+
+
 def char_features(c: Column) -> Column:
     """For each code point: space_before, capitalized, numeric, start_of_para, end_of_para."""
     chars = F.split(c, "")

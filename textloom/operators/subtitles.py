@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import arrow_values
 from ..sources.documents import Word
 from ..sources.marked import Cue, dialogue, plain_line
 
@@ -173,3 +174,51 @@ def measure(placed: list[list[CueLine]], sentences: list[list[Word]]) -> dict[st
         best = min(options(text, start, own), key=lambda o: o.score, default=None)
         counts["best_is_own"] += best is not None and best.at == len(lines[0].text)
     return counts
+
+
+_TAG = r"<[^<>]*>|\{\\[^{}]*\}"
+
+
+def cue_lines(cues: DataFrame, key: str = "path") -> DataFrame:
+    """key, cue_idx, line_idx, start, text, dialogue of cues(key, cue_idx, lines): transcript() in the JVM, a row a line."""
+    each = cues.select(key, "cue_idx", F.posexplode("lines").alias("_raw", "line"))
+    plain = F.regexp_replace(F.regexp_replace("line", _TAG, ""), r"(?U)^\s+|\s+$", "")
+    speaks = (F.length(plain) > 1) & F.substring(plain, 1, 1).isin(*"-‐–—") & (F.substring(plain, 2, 1) != "-")
+    text = F.when(speaks, F.regexp_replace(F.substring(plain, 2, 1 << 30), r"(?U)^\s+", "")).otherwise(plain)
+    kept = each.select(key, "cue_idx", "_raw", text.alias("text"), speaks.alias("dialogue")).where("text <> ''")
+    order = Window.partitionBy(key).orderBy("cue_idx", "_raw")
+    own = Window.partitionBy(key, "cue_idx").orderBy("_raw")
+    start = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return kept.select(key, "cue_idx", (F.row_number().over(own) - 1).alias("line_idx"), start.alias("start"), "text", "dialogue")
+
+
+def _grouped(lines: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """key, lines (arrays of lines by cue) and sentences (arrays of words): what the checker sees of one file."""
+    cues = lines.groupBy(key, "cue_idx").agg(F.array_sort(F.collect_list(F.struct("line_idx", F.struct("start", "text", "dialogue").alias("l")))).alias("_ls"))
+    cues = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cue_idx", F.col("_ls.l").alias("ls")))).alias("cues"))
+    word = F.struct(*[F.col(c) for c in ("word_id", "text", "upos", "head", "deprel", "start_char", "end_char")])
+    sentences = words.groupBy(key, "sent_idx").agg(F.array_sort(F.collect_list(word)).alias("_ws")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_idx", F.col("_ws").alias("ws")))).alias("sentences"))
+    return cues.join(sentences, key, "left")
+
+
+def _inputs(row: dict) -> tuple[list[int], list[list[CueLine]], list[list[Word]]]:
+    placed = [[CueLine(x["start"], x["text"], x["dialogue"]) for x in c["ls"]] for c in row["cues"]]
+    words = [[Word(w["word_id"], w["text"], upos=w["upos"], head=w["head"], deprel=w["deprel"], start_char=w["start_char"], end_char=w["end_char"]) for w in s["ws"]] for s in row["sentences"] or ()]
+    return [c["cue_idx"] for c in row["cues"]], placed, words
+
+
+def findings(lines: DataFrame, words: DataFrame, key: str = "path") -> DataFrame:
+    """key, cue_idx, line_idx, cost, suggestion of the breaks that tear words apart; lines as cue_lines gives them, words(key, sent_idx, word_id, ...) with places in the transcript."""
+
+    def one(row: dict) -> list[dict]:
+        cues, placed, sentences = _inputs(row)
+        return [{"cue_idx": cues[f.cue], "line_idx": f.line, "cost": sum(s.weight for s in f.splits), "suggestion": f.suggestion} for f in check(placed, sentences)]
+
+    found = arrow_values(one, "array<struct<cue_idx:int,line_idx:int,cost:int,suggestion:string>>")(F.struct("cues", "sentences"))
+    return _grouped(lines, words, key).select(key, F.explode(found).alias("_f")).select(key, "_f.*")
+
+
+def measures(lines: DataFrame, words: DataFrame, key: str = "path") -> DataFrame:
+    """key, cues, own_flagged, midpoint_flagged, best_is_own of every file."""
+    counts = arrow_values(lambda row: measure(*_inputs(row)[1:]), "struct<cues:int,own_flagged:int,midpoint_flagged:int,best_is_own:int>")(F.struct("cues", "sentences"))
+    return _grouped(lines, words, key).select(key, counts.alias("_m")).select(key, "_m.*")

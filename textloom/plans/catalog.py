@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotated_queries, annotation_queries, relational_queries, text_queries
+from . import annotated_queries, annotation_queries, decoder_queries, feature_queries, relational_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (text_queries, relational_queries, annotation_queries, annotated_queries):
+for _module in (text_queries, relational_queries, annotation_queries, annotated_queries, decoder_queries, feature_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

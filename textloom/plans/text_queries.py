@@ -73,7 +73,9 @@ def doc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, length(t) AS n_norm, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS t FROM documents)
 """)
 def ws_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
+    from ..functions.unicode import collapse
+
+    t = collapse(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n_norm"), F.md5(t.cast("binary")).alias("digest"))
 
 
@@ -145,17 +147,6 @@ def top_terms_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term")).cast("long")).where("place <= 25")
 
 
-@query(r"""
-WITH w AS (SELECT string_split(text, ' ') AS w FROM documents), b AS (SELECT w[i] AS first, w[i + 1] AS second FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
-SELECT first, second, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 50
-""")
-def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of frequent bigrams: those counted at least 50 times. bigram_counts_all has all of them."""
-    w = docs(spark, sf_dir).select(F.split("text", " ").alias("w")).where(F.size("w") > 1)
-    pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("first"), F.slice("w", 2, F.size("w")).alias("second"))
-    return w.select(F.inline(pairs)).groupBy("first", "second").agg(F.count("*").alias("n")).where("n >= 50")
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), total AS (SELECT count(*) AS docs FROM documents)
@@ -178,9 +169,10 @@ SELECT conv_id, kind, key, '[' || upper(kind) || '-' || dense_rank() OVER (PARTI
 """)
 def placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders numbered by kind in order of first appearance."""
+    from ..operators.masking import numbered
+
     first = docs(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("kind"), F.lower(F.split("text", " ")[0]).alias("key")).agg(F.min("turn").alias("first"))
-    rank = F.dense_rank().over(Window.partitionBy("conv_id", "kind").orderBy("first", "key"))
-    return first.select("conv_id", "kind", "key", F.concat(F.lit("["), F.upper("kind"), F.lit("-"), rank, F.lit("]")).alias("placeholder"))
+    return numbered(first, ["conv_id"], "kind", "key", "first")
 
 
 @query(r"""
@@ -274,25 +266,14 @@ def capitalized_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.where("n_tokens >= 2").select("doc_id", F.col("a").cast("long").alias("start_token"), (F.col("b") + 1).cast("long").alias("end_token"), "n_tokens", F.array_join("ws.word", " ").alias("text"))
 
 
-@query(r"""
-WITH s AS (SELECT conv_id, turn, text, length(text) AS n, unnest(range(1, length(text) + 1)) AS pos FROM conversations WHERE length(text) BETWEEN 20 AND 400)
-SELECT conv_id, turn, CAST(min_by(pos, abs(2 * (pos - 1) - (n - 1)) * 1000 + pos) AS BIGINT) AS break_at FROM s WHERE substr(text, pos, 1) = ' ' GROUP BY conv_id, turn
-""")
-def midpoint_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.subtitles import midpoint
-
-    c = docs(spark, sf_dir, "conversations").where(F.length("text").between(20, 400))
-    return c.select("conv_id", "turn", midpoint(F.col("text")).cast("long").alias("break_at")).where("break_at is not null")
-
-
 @query(r"""
 WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, length(text) AS n, string_split(text, ' ') AS ws FROM conversations),
 w AS (SELECT r, conv_id, turn, n, unnest(range(1, len(ws) + 1)) AS i, length(unnest(ws)) + 1 AS k, len(ws) AS m FROM t),
 s AS (SELECT r, conv_id, turn, n, i, m, sum(k) OVER (PARTITION BY r ORDER BY i) AS pos FROM w)
 SELECT conv_id, turn, CAST(min(struct_pack(away := abs(2 * (pos - 1) - (n - 1)), at := pos)).at AS BIGINT) AS break_at FROM s WHERE i < m GROUP BY r, conv_id, turn
 """)
-def midpoint_breaks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The midpoint break of every turn with a blank, of any length; midpoint_breaks has those of 20 to 400 characters."""
+def midpoint_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The midpoint break of every turn with a blank, of any length."""
     from ..operators.subtitles import midpoint
 
     return docs(spark, sf_dir, "conversations").select("conv_id", "turn", midpoint(F.col("text")).cast("long").alias("break_at")).where("break_at is not null")
@@ -302,7 +283,7 @@ def midpoint_breaks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH w AS (SELECT string_split(text, ' ') AS w FROM documents), b AS (SELECT w[i] AS first, w[i + 1] AS second FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
 SELECT first, second, count(*) AS n FROM b GROUP BY ALL
 """)
-def bigram_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of all bigrams, however rare."""
     w = docs(spark, sf_dir).select(F.split("text", " ").alias("w")).where(F.size("w") > 1)
     pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("first"), F.slice("w", 2, F.size("w")).alias("second"))

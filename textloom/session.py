@@ -24,13 +24,26 @@ def session(name: str = "textloom", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a session that has none (tests, a laptop) gets a temporary one."""
+    """The folder of spark.checkpoint.dir. A local session that has none (tests, a laptop) gets a temporary one; a cluster without one is refused."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Inputs smaller than this may lie in fewer pieces than there are cores.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input is small (one file, one row group); a large input stays as it is read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder; what follows reads that copy."""
     shared_dir(df.sparkSession)

@@ -172,3 +172,15 @@ def gold_rows(files: DataFrame, key: str = "path") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _ in rows], pa.int64())), *cols], names=[key, "start", "end", "type", "id", "text"])
 
     return files.select(key, "value").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, start int, end int, type string, id string, text string")
+
+
+def element_rows(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, place, kind, text, level of every element of the Markdown texts files(key, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, i, e) for n, t in enumerate(batch.column(1).to_pylist()) if t for i, e in enumerate(parse_markdown(t))]
+            cols = [pa.array([getattr(e, c) for _, _, e in rows], t) for c, t in (("kind", pa.string()), ("text", pa.string()), ("level", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], pa.int32()), *cols], names=[key, "place", "kind", "text", "level"])
+
+    return files.select(key, "value").mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, place int, kind string, text string, level int")

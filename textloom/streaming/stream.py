@@ -31,14 +31,16 @@ def numbered(stream: DataFrame, order: list[str], name: str, out: str, checkpoin
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        start = 0
-        if batch_id:
-            try:
-                start = spark.read.parquet(out).where(F.col("batch") < batch_id).count()
-            except Exception as e:  # nothing written yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-        running_ids(batch, order, name, start).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # each batch leaves the number that the next one starts with: one row a batch is read, not what was written
+        totals = spark.createDataFrame([], "batch_id long, upto long")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}-totals")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            totals = spark.read.schema("batch_id long, upto long").parquet(f"{out}-totals/*")
+        last = totals.where(F.col("batch_id") < batch_id).agg(F.max_by("upto", "batch_id")).first()[0]
+        own = running_ids(batch, order, name, last or 0)
+        own.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        upto = (last or 0) + spark.read.parquet(f"{out}/batch={batch_id}").count()
+        spark.createDataFrame([(batch_id, upto)], "batch_id long, upto long").coalesce(1).write.mode("overwrite").parquet(f"{out}-totals/{batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
