@@ -267,7 +267,7 @@ SHAPES = {
     "labeled_field": r"(?U)\b\p{L}[\p{L} ]{0,20}: ",
     "phone_id": r"\+?[0-9][0-9 ()./-]{6,}[0-9]",
     "date_pattern": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})\b",
-    "currency": r"(?:[$€£¥] ?[0-9][0-9.,]*|[0-9][0-9.,]* ?(?:[$€£¥]|kr|EUR|USD|SEK)\b)",
+    "currency": r"(?:[$€£¥] ?[0-9][0-9.,]*|[0-9][0-9.,]* ?(?:[$€£¥]|(?:kr|EUR|USD|SEK)\b))",
 }
 
 

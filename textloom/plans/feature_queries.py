@@ -54,7 +54,7 @@ def char_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' Namn och ort: x' WHEN 1 THEN ' ring 070-123 45 67' WHEN 2 THEN ' den 2024-05-17 ja' WHEN 3 THEN ' för 125,50 kr nu' ELSE '' END AS text FROM documents)
 SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])\p{L}[\p{L} ]{0,20}: ') AS labeled_field, regexp_matches(text, '\+?[0-9][0-9 ()./-]{6,}[0-9]') AS phone_id, regexp_matches(text, '\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})\b') AS date_pattern,
-  regexp_matches(text, '(?:[$€£¥] ?[0-9][0-9.,]*|[0-9][0-9.,]* ?(?:[$€£¥]|(kr|EUR|USD|SEK)\b))') AS currency FROM t""")
+  regexp_matches(text, '(?:[$€£¥] ?[0-9][0-9.,]*|[0-9][0-9.,]* ?(?:[$€£¥]|(kr|EUR|USD|SEK)([^\p{L}\p{N}_]|$)))') AS currency FROM t""")
 def shape_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text holds a labelled field, a number like a telephone's, a date or an amount."""
     k = F.col("doc_id") % 5
