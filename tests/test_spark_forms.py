@@ -108,3 +108,31 @@ def test_context_in_time_linear_in_the_text():
     assert time.process_time() - began < 5
     assert not near_context("bankgiro a b c d e 123 f", 19, 22, ("bankgiro",)) and near_context("bankgiro b c d e 123 f", 17, 20, ("bankgiro",))
     assert near_context("se org nr: 12", 11, 13, ("org nr",)) and not near_context("xorg nr 12", 8, 10, ("org nr",)) and not near_context("a 1", 2, 3, ())
+
+
+def test_a_sentence_without_tags_fails(spark):
+    rows = [(1, 1, "NOUN", None), (1, 2, None, None), (2, 1, None, None)]
+    w = spark.createDataFrame(rows, "doc_id long, word_id int, upos string, xpos string")
+    assert annotate.with_tags(w.where("doc_id = 1"), ["doc_id"]).count() == 2
+    with pytest.raises(Exception, match="no tags"):
+        annotate.with_tags(w, ["doc_id"]).collect()
+
+
+def test_labels_without_sentence_ends_and_with_inner_blanks(spark):
+    units = [(0, p, c, x) for p, (c, x) in enumerate(zip(" ab c. d\t e", [0, 0, 1, 0, 3, 2, 1, 1, 0, 0, 1], strict=True))]
+    df = spark.createDataFrame(units, "doc_id long, place int, char string, label int")
+    plain = lambda **k: [(r.sent_idx, r.token_idx, r.text, r.start, r.end, r.is_mwt) for r in segment.decoded(df, ["doc_id"], **k).orderBy("start").collect()]
+    assert plain() == [(0, 0, "ab", 1, 3, False), (0, 1, "c", 4, 5, True), (0, 2, ".", 5, 6, False), (1, 0, "d", 7, 8, False), (1, 1, "e", 10, 11, False)]
+    assert {x[0] for x in plain(ssplit=False)} == {0} and [x[2] for x in plain(longest=1)] == ["<UNK>", "c", ".", "d", "e"]
+    assert [x[0] for x in plain(enders=("c",))] == [0, 0, 1, 2, 2]
+
+
+def test_files_are_converted(spark, tmp_path):
+    from textloom import convert
+    from textloom.sources import conllu
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("One two. Three!")
+    convert.main(str(tmp_path / "in"), str(tmp_path / "out"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect() if r.value.strip())
+    assert [[w.text for w in s.words()] for s in conllu.read(text.strip("\n") + "\n")] == [["One", "two", "."], ["Three", "!"]]

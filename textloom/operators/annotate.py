@@ -188,3 +188,10 @@ def neighbour_table(words: DataFrame, targets: Sequence[str], keys: Sequence[str
     seen = words.select(F.lower("text").alias("text"), F.coalesce(after, F.lit("")).alias("next_upos"), "lemma").where(F.col("text").isin(*targets))
     counted = seen.groupBy("text", "next_upos", "lemma").agg(F.count("*").alias("n"))
     return counted.groupBy("text", "next_upos").agg(F.min(F.struct((-F.col("n")).alias("n"), "lemma")).alias("m")).select("text", "next_upos", "m.lemma")
+
+
+def with_tags(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """words as they are; the query fails if a sentence has no upos and no xpos at all, as a parser that needs them would."""
+    some = F.max((F.col("upos").isNotNull() | F.col("xpos").isNotNull()).cast("int")).over(Window.partitionBy(*keys))
+    checked = F.when(some == 1, F.col("upos")).otherwise(F.raise_error(F.lit("a sentence has no tags")).cast("string"))
+    return words.withColumn("upos", checked)

@@ -114,3 +114,15 @@ def having(chunks: DataFrame, name: str) -> DataFrame:
 def most_named(chunks: DataFrame, k: int = 12) -> DataFrame:
     """The entities that most chunks name, then by name: a report of k rows."""
     return chunks.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(k)
+
+
+def store(rows: DataFrame, path: str, vector: Column, mode: str = "errorifexists") -> None:
+    """Writes rows with their embeddings (vector, for instance hashed_terms()(content)) as Parquet at path: the collection that search_store reads."""
+    rows.withColumn("embedding", vector).write.mode(mode).parquet(path)
+
+
+def search_store(queries: DataFrame, path: str, row_id: str, k: int) -> DataFrame:
+    """Each of queries(id, vector)'s k nearest rows of a stored collection, with the rows' own columns."""
+    kept = queries.sparkSession.read.parquet(path)
+    found = search(queries, kept.select(row_id, "embedding"), k)
+    return found.join(kept.drop("embedding"), row_id)

@@ -7,11 +7,11 @@ a trained tokenizer can take the rule's place: anything that maps a paragraph to
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.unicode import TOKEN_SPACE
@@ -219,6 +219,34 @@ def paragraph_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode(parts).alias("par_idx", "paragraph"))
 
 
+def decoded(units: DataFrame, keys: Sequence[str], inner_spaces: bool = True, longest: int | None = None, ssplit: bool = True, enders: Sequence[str] = ()) -> DataFrame:
+    """keys, sent_idx, token_idx, text, start, end, is_mwt from units(keys, place, char, label), gaps and islands in the JVM.
+
+    A label of 1 or more ends a token at its unit, 2 and 4 a sentence too, 3 and 4 mark a multi-word token. White space
+    before a token is not part of it and a token of white space alone is none; without inner_spaces (Chinese, Japanese,
+    Korean) that within goes as well; a longer token than longest reads <UNK>; units among enders end sentences whatever
+    their label; units after the last label belong to no token.
+    """
+    order = Window.partitionBy(*keys).orderBy("place")
+    label = F.when(F.col("char").isin(*enders), F.lit(2)).otherwise(F.col("label")) if enders else F.col("label")
+    u = units.withColumn("_l", label)
+    u = u.withColumn("_t", F.coalesce(F.sum((F.col("_l") >= 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    solid = ~F.col("char").rlike(f"(?U)^[{TOKEN_SPACE}]$")
+    tokens = u.groupBy(*keys, "_t").agg(F.min(F.when(solid, F.col("place"))).alias("start"), (F.max("place") + 1).alias("end"), F.max_by("_l", "place").alias("_l"), F.array_sort(F.collect_list(F.struct("place", "char"))).alias("_c"))
+    tokens = tokens.where("start is not null and _l >= 1")
+    chars = F.filter("_c", lambda x: x["place"] >= F.col("start"))
+    if not inner_spaces:
+        chars = F.filter(chars, lambda x: x["char"] != " ")
+    text = F.array_join(F.transform(chars, lambda x: x["char"]), "")
+    if longest is not None:
+        text = F.when(F.length(text) > longest, F.lit("<UNK>")).otherwise(text)
+    before = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.coalesce(F.sum(F.col("_l").isin(2, 4).cast("int")).over(before), F.lit(0)) if ssplit else F.lit(0)
+    placed = tokens.select(*keys, ends.cast("int").alias("sent_idx"), text.alias("text"), "start", "end", (F.col("_l") >= 3).alias("is_mwt"))
+    place = F.row_number().over(Window.partitionBy(*keys, "sent_idx").orderBy("start")) - 1
+    return placed.select(*keys, "sent_idx", place.alias("token_idx"), "text", "start", "end", "is_mwt")
+
+
 def _tokens_and_gaps(paragraph: Column) -> Column:
     """Each token of a paragraph, by the rule's patterns, with the code points of it and of the white space after it."""
     masks = F.contains(paragraph, F.lit("@")) | F.contains(paragraph, F.lit("http")) | F.contains(paragraph, F.lit("www."))

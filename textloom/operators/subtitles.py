@@ -80,6 +80,19 @@ def relation_weight(word: Word, head: Word, ends_line: bool) -> int:
     return KEPT.get(word.deprel, 0) or (NOT_LAST.get(word.deprel, 0) if ends_line else 0)
 
 
+def relation_costs(words: DataFrame, ends_line: Column | None = None) -> DataFrame:
+    """words(word_id, head, deprel, ...) with cost: relation_weight() in the JVM; 0 for words without a head."""
+    cost = F.lit(0)
+    if ends_line is not None:
+        for relation, weight in NOT_LAST.items():
+            cost = F.when(ends_line & (F.col("deprel") == relation), F.lit(weight)).otherwise(cost)
+    for relation, weight in KEPT.items():
+        cost = F.when(F.col("deprel") == relation, F.lit(weight)).otherwise(cost)
+    for relation, weight in KEPT_BEFORE.items():
+        cost = F.when((F.col("deprel") == relation) & (F.col("word_id") < F.col("head")), F.lit(weight)).otherwise(cost)
+    return words.withColumn("cost", F.when(F.coalesce(F.col("head"), F.lit(0)) > 0, cost).otherwise(F.lit(0)))
+
+
 def _is_subject_of(pronoun: Word, verb: Word) -> bool:
     return pronoun.upos == "PRON" and pronoun.deprel in SUBJECTS and (verb.id == pronoun.head or verb.head == pronoun.head and verb.deprel in WITH_VERB)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import unicode
-from ..operators import chunking, pii, retrieval, segment, spans
+from ..operators import chunking, pii, retrieval, segment, spans, subtitles
 from ..session import shared_dir
 from ..sources import conllu, marked
 from ..streaming import stream
@@ -228,3 +228,48 @@ def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import spread
 
     return segment.sentence_counts(spread(docs(spark, sf_dir).select("doc_id", "text")))
+
+
+@query(r"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, text, unnest(range(0, length(text))) AS place FROM conversations),
+u AS (SELECT doc_id, place, text[place + 1] AS ch, CASE WHEN text[place + 1] = ';' THEN 2 WHEN place + 1 = length(text) OR text[place + 2] = ' ' AND place % 3 > 0 THEN CASE WHEN text[place + 1] = '.' THEN 2 WHEN place % 7 = 0 THEN 3 ELSE 1 END ELSE 0 END AS label FROM c),
+t AS (SELECT *, coalesce(sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tok FROM u),
+g AS (SELECT doc_id, tok, min(CASE WHEN NOT regexp_matches(ch, '^[\s\x1c-\x1f\x80-\x9f]$') THEN place END) AS start, max(place) + 1 AS "end", max_by(label, place) AS label FROM t GROUP BY ALL),
+k AS (SELECT g.doc_id, g.tok, g.start, g."end", g.label, string_agg(ch, '' ORDER BY place) FILTER (WHERE place >= g.start AND ch <> ' ') AS text FROM g JOIN t ON t.doc_id = g.doc_id AND t.tok = g.tok WHERE g.start IS NOT NULL AND g.label >= 1 GROUP BY ALL),
+s AS (SELECT *, coalesce(sum(CASE WHEN label IN (2, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_idx FROM k)
+SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY start) - 1 AS INTEGER) AS token_idx, CASE WHEN length(text) > 12 THEN '<UNK>' ELSE text END AS text, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", label >= 3 AS is_mwt FROM s""")
+def decoded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and sentences from a label for each character of every turn; blanks within tokens go, long ones are unknown."""
+    c = docs(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", "")).alias("place", "char"), F.col("text"))
+    after = F.substring(F.col("text"), F.col("place") + 2, F.lit(1))
+    last = (F.col("place") + 1 == F.length("text")) | ((after == " ") & (F.col("place") % 3 > 0))
+    label = F.when(last, F.when(F.col("char") == ".", 2).when(F.col("place") % 7 == 0, 3).otherwise(1)).otherwise(0)
+    return segment.decoded(c.where("char <> ''").select("doc_id", "place", "char", label.alias("label")), ["doc_id"], inner_spaces=False, longest=12, enders=(";",))
+
+
+@query(rf"""WITH {WORDS_SQL}, l AS (SELECT doc_id, word_id, text, '<Word id=' || word_id || ';text=' || text || ';lemma=' || lemma || ';upos=' || upos || ';head=' || head || ';deprel=' || deprel || '>' AS line,
+  '(' || chr(39) || text || chr(39) || ', ' || head || ', ' || chr(39) || deprel || chr(39) || ')' AS dep FROM a)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY word_id)) AS words, md5(string_agg('<Token id=' || word_id || ';words=[' || line || ']>', chr(10) ORDER BY word_id)) AS tokens, md5(string_agg(dep, chr(10) ORDER BY word_id)) AS dependencies
+FROM l GROUP BY doc_id HAVING NOT bool_or(contains(text, chr(39)) OR contains(text, chr(92)))""")
+def pretty_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, tokens and dependencies of every turn written out, but for turns with quotes, which Python writes in its own way."""
+    s = conllu.from_words(words(spark, sf_dir)).where(~F.col("sentence.text").rlike(r"['\\]"))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    x = F.col("sentence")
+    return s.select("doc_id", md5(conllu.words_string(x)).alias("words"), md5(conllu.tokens_string(x)).alias("tokens"), md5(conllu.dependencies_string(x)).alias("dependencies"))
+
+
+@query(f"""WITH {WORDS_SQL} SELECT doc_id, word_id, CASE WHEN h = 0 THEN 0 WHEN deprel = 'case' THEN 8 WHEN deprel IN ('det', 'amod') AND word_id < h THEN 10 ELSE 0 END AS cost FROM (SELECT *, CASE WHEN word_id % 3 = 0 THEN word_id + 1 ELSE head END AS h FROM a)""")
+def break_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a break between every word and its head would cost."""
+    w = words(spark, sf_dir).withColumn("head", F.when(F.col("word_id") % 3 == 0, F.col("word_id") + 1).otherwise(F.col("head")))
+    return subtitles.relation_costs(w).select("doc_id", "word_id", "cost")
+
+
+@query(f"""WITH {_CHUNK_SQL} SELECT k AS doc_id, CAST(j AS INTEGER) AS chunk_idx, k AS query_id, 1.0 AS score FROM u WHERE j = 0 AND k % 20 = 1""")
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks stored with their vectors, and the nearest of each of some of them: itself."""
+    rows = chunking.chunks(_sections(spark, sf_dir), 12).withColumn("id", F.col("doc_id") * 100 + F.col("chunk_idx"))
+    path, vector = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", retrieval.hashed_terms(4096)
+    retrieval.store(rows, path, vector(F.concat_ws(" ", "context", "content")))
+    queries = spark.read.parquet(path).where("chunk_idx = 0 and doc_id % 20 = 1").select(F.col("doc_id").alias("query_id"), "embedding")
+    return retrieval.search_store(queries, path, "id", 1).select("doc_id", "chunk_idx", "query_id", F.round("score", 3).alias("score"))

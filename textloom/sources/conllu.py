@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.unicode import arrow_values
 from . import trees
 from .documents import SENTENCE, WORD, Sentence, Token, Word, sentence_array
 
@@ -228,3 +229,40 @@ def first_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
     both = numbered(a, "left").join(numbered(b, "right"), ["path", "line"], "full").where(~F.col("left").eqNullSafe(F.col("right")))
     return both.groupBy("path").agg(F.min(F.struct("line", "left", "right")).alias("d"), F.count("*").alias("differing")).select("path", (F.col("d.line") + 1).alias("line"), "d.left", "d.right", "differing")
+
+
+def _word_line(w: Column) -> Column:
+    number = F.when(w["empty_index"].isNotNull(), F.concat(F.lit("("), w["id"], F.lit(", "), w["empty_index"], F.lit(")"))).otherwise(w["id"].cast("string"))
+    fields = [F.concat(F.lit("id="), number), *(F.concat(F.lit(f"{c}="), w[c]) for c in ("text", "lemma", "upos", "xpos", "feats", "head", "deprel"))]
+    return F.concat(F.lit("<Word "), F.concat_ws(";", *fields), F.lit(">"))
+
+
+def words_string(sentence: Column) -> Column:
+    """A sentence's words, a line each, with the fields that are set."""
+    return F.array_join(F.transform(F.flatten(F.transform(sentence["tokens"], lambda t: t["words"])), _word_line), "\n")
+
+
+def tokens_string(sentence: Column) -> Column:
+    """A sentence's tokens, a line each, with their words."""
+
+    def line(t: Column) -> Column:
+        n = F.size(t["words"])
+        first, last = F.get(t["words"], F.lit(0))["id"], F.get(t["words"], n - 1)["id"]
+        number = F.when(n == 0, F.lit("")).when(n == 1, first.cast("string")).otherwise(F.concat(first, F.lit("-"), last))
+        return F.concat(F.lit("<Token id="), number, F.lit(";words=["), F.array_join(F.transform(t["words"], _word_line), ", "), F.lit("]>"))
+
+    return F.array_join(F.transform(sentence["tokens"], line), "\n")
+
+
+def dependencies_string(sentence: Column) -> Column:
+    """A sentence's dependencies, a tuple of text, head and relation a line; empty unless its words are numbered in order and all have a head and a relation. A head that is no word fails."""
+
+    def lines(row: dict) -> str:
+        own = from_row(row).words()
+        if [w.id for w in own] != list(range(1, len(own) + 1)) or any(w.head is None or w.deprel is None for w in own):
+            return ""
+        if bad := [w for w in own if not 0 <= w.head <= len(own)]:
+            raise ValueError(f"no word {bad[0].head}")
+        return "\n".join(f"({w.text!r}, {w.head}, {w.deprel!r})" for w in own)
+
+    return arrow_values(lines, "string")(sentence)
