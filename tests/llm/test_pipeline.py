@@ -49,3 +49,27 @@ def test_odd_rows_and_none(spark):
         ids = {r.doc_id for r in kept}
         assert not ids & {1, 2, 3, 10, 5, 7}
     assert shingles("a b") == frozenset([("a", "b")])
+
+
+def test_many_dropped_ids_are_joined(spark, monkeypatch):
+    """Past the bound of what is broadcast, the same rows by a shuffle."""
+    from textloom.llm import near_dedup
+
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark), SF).collect())
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", -1)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark), SF).collect()) == kept
+
+
+def test_batches_to_python_are_bounded(spark):
+    from textloom.llm.common import BATCH_ROWS, bounded_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("10000", str(BATCH_ROWS)), ("0", str(BATCH_ROWS)), ("64", "64")):
+            spark.conf.set(key, given)
+            bounded_batches(spark)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, before)

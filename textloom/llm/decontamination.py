@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import table
+from .common import bounded_batches, table
 
 WIDTH = 5
 PERCENT = 80
@@ -238,6 +238,8 @@ def _scan(array: pa.Array, items: Items) -> Iterator[tuple[int, dict[int, tuple[
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words for every item that a document holds, in its best window."""
 
+    bounded_batches(docs.sparkSession)
+
     def part(items: Items) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -255,6 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
+    bounded_batches(docs.sparkSession)
     for items in _parts(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

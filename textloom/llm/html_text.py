@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math".split())
@@ -382,6 +382,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
 
+    bounded_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def text(html: pa.Array) -> pa.Array:
         return pa.array([main_text(x) for x in html.to_pylist()], pa.string())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 2000
@@ -126,6 +126,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
+        bounded_batches(docs.sparkSession)
         labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
         sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
         if len(sizes) > LANGUAGES:
@@ -161,6 +162,7 @@ class LanguageModel:
 
 def predictor(docs: DataFrame, model: LanguageModel):
     """A function of the text column: struct<lang_pred, score>."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

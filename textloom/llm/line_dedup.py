@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 from .textlines import Lines, lines
 
 FILTER_BITS = 1 << 28
@@ -182,6 +182,7 @@ def _rows(batch: pa.RecordBatch, repeats: _Repeats, digest: bool) -> Iterator[pa
 
 def dedup_lines(docs: DataFrame, points: int = 40, documents: int = 5, bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, digest: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text (or its SHA-256 if digest) of every row of docs(doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, repeated = repeated_keys(docs, points, documents, bits)
     size = repeated.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()[0]

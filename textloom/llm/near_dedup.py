@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut, salted_join
+from .common import bounded_batches, cut, salted_join
 from .components import components
 from .superminhash import signatures
 
@@ -107,6 +107,7 @@ class NearDuplicates:
     """Groups of docs(doc_id, text) whose shingle sets, linked pair by pair, have 100 * intersection >= percent * union."""
 
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, slots: int = SLOTS, band: int = BAND):
+        bounded_batches(docs.sparkSession)
         self.docs, self.percent, self.width = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width
         self.slots, self.band = slots, band
         self.base = cut(digests(docs, width, slots))
