@@ -36,6 +36,11 @@ def test_an_asof_join_is_one_window(spark):
     assert "Join" not in p and "Window" in p
 
 
-def test_row_local_text_queries_do_not_shuffle(spark):
-    for name in ("line_split", "sentence_counts", "doc_offsets", "ws_normalize", "email_counts", "idnumber_candidates", "mask_documents", "chunk_documents", "pii_spans"):
+def test_row_local_text_queries_do_not_shuffle(spark, monkeypatch):
+    from textloom import session
+
+    # only an input of few pieces is spread over the cores; here all count as large
+    assert "RoundRobinPartitioning" in plan(catalog.QUERIES["sentence_tokens"](spark, SF))
+    monkeypatch.setattr(session, "SMALL_INPUT", 0)
+    for name in ("line_split", "sentence_counts", "doc_offsets", "ws_normalize", "email_counts", "idnumber_candidates", "mask_documents", "masked_people", "chunk_documents", "sentence_tokens", "paragraphs", "token_space", "shape_flags", "pii_spans"):
         assert "Exchange" not in plan(catalog.QUERIES[name](spark, SF)), name
