@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401
+
 #: ASCII white space as the contracts define it; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,21 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Rows, and bytes, of one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Has the session pass texts to Python workers in batches of at most BATCH_ROWS and about BATCH_BYTES; smaller settings stay.
-
-    The defaults, 10,000 rows and 64 MB, are held several times over on both sides of each running task.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key)).removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder; what follows reads that copy and not df's lineage."""
     shared_dir(df.sparkSession)

@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.unicode import arrow_values
-from ..sources.conllu import from_row
-from ..sources.documents import Sentence, Word
+from ..functions.unicode import arrow_values, bounded_udf
+from ..sources.documents import Sentence, Word, documents_of
 from .spans import covered
 
 
@@ -185,14 +185,20 @@ def attached(words: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFram
     return words.drop("coref").join(joined, [*keys, "word_id"], "left")
 
 
+_CHAINS = pa.list_(pa.struct([("chain", pa.int32()), ("representative_text", pa.string()), ("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("is_representative", pa.bool_())]))
+
+
 def chains_of(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, chain, representative_text, sentence, start, end, is_representative of every mention that the words' marks of parsed(key, sent_idx, sentence) say."""
 
-    def one(rows: list[dict]) -> list[dict]:
-        found = rebuild([from_row(r["sentence"]) for r in sorted(rows, key=lambda r: r["sent_idx"])])
+    def one(sentences: list[Sentence]) -> list[dict]:
+        found = rebuild(sentences)
         return [{"chain": c.index, "representative_text": c.text, "sentence": m.sentence, "start": m.start, "end": m.end, "is_representative": i == c.representative} for c in found for i, m in enumerate(c.mentions)]
 
-    chains = arrow_values(one, "array<struct<chain:int,representative_text:string,sentence:int,start:int,end:int,is_representative:boolean>>")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array((one(own) for own in documents_of(rows)), _CHAINS)
+
+    chains = bounded_udf(run, "array<struct<chain:int,representative_text:string,sentence:int,start:int,end:int,is_representative:boolean>>")
     grouped = parsed.groupBy(key).agg(F.collect_list(F.struct("sent_idx", "sentence")).alias("_s"))
     return grouped.select(key, F.explode(chains(F.col("_s"))).alias("_c")).select(key, "_c.*")
 

@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.unicode import arrow_values
+from ..functions.unicode import bounded_udf
+from ..session import bounded_batches
 from . import trees
-from .documents import SENTENCE, WORD, Sentence, Token, Word, sentence_array
+from .documents import AT_ONCE, SENTENCE, WORD, Sentence, Token, Word, documents_of, sentence_array, sentences_of
 
-#: Sentences a worker holds before it passes them on.
-ROWS = 1024
+#: Sentences, and words, that a worker holds before it passes them on.
+ROWS, WORDS = 1024, 16_384
 _ESCAPES = {" ": "\\s", "\t": "\\t", "\r": "\\r", "\n": "\\n", "|": "\\p", "\\": "\\\\", " ": "\\u00A0"}
 _UNESCAPES = {v: k for k, v in _ESCAPES.items()}
 _ESCAPED = re.compile(r"\\u00A0|\\[strnp\\]")
@@ -150,31 +151,33 @@ def write(sentences: list[Sentence]) -> str:
     return "\n".join(blocks)
 
 
-def from_row(row: dict) -> Sentence:
-    """A sentence from the value of a SENTENCE struct."""
-    tokens = [Token(**{k: v for k, v in t.items() if k != "words"}, words=[Word(**w) for w in t["words"]]) for t in row["tokens"]]
-    return Sentence(row["sent_id"], row["text"], row["constituency"], row["sentiment"], tokens, [Word(**w) for w in row["empty"]])
-
-
 def sentences(files: DataFrame, key: str = "path", content: str = "value", reader=read) -> DataFrame:
     """key, sent_idx, sentence (a SENTENCE struct) of every sentence of files(key, content)."""
     kind = files.schema[key].dataType.simpleString()
     out = f"{key} {kind}, sent_idx int, sentence {SENTENCE}"
 
+    def passed(batch: pa.RecordBatch, owner: list[int], places: list[int], held: list[Sentence]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), sentence_array(held)], names=[key, "sent_idx", "sentence"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner: list[int] = []
             places: list[int] = []
             held: list[Sentence] = []
+            size = 0
             for n, t in enumerate([*batch.column(1).to_pylist(), None]):
-                own = reader(t) if t else []
-                owner += [n] * len(own)
-                places += range(len(own))
-                held += own
-                if held and (len(held) >= ROWS or n == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), sentence_array(held)], names=[key, "sent_idx", "sentence"])
-                    owner, places, held = [], [], []
-
+                for k, s in enumerate(reader(t) if t else ()):
+                    owner.append(n)
+                    places.append(k)
+                    held.append(s)
+                    size += len(s.tokens)
+                    if len(held) >= ROWS or size >= WORDS:
+                        yield passed(batch, owner, places, held)
+                        owner, places, held, size = [], [], [], 0
+            if held:
+                yield passed(batch, owner, places, held)
+
+    bounded_batches(files.sparkSession)
     return files.select(key, content).mapInArrow(run, out)
 
 
@@ -214,11 +217,10 @@ def feats_map(c: Column) -> Column:
 def rendered(parsed: DataFrame, key: str = "path", writer=write) -> DataFrame:
     """key, value: each document's sentences written in order."""
 
-    @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array([writer([from_row(x["sentence"]) for x in sorted(r, key=lambda x: x["sent_idx"])]) for r in rows.to_pylist()], pa.string())
+        return pa.array((writer(own) for own in documents_of(rows)), pa.string())
 
-    return parsed.groupBy(key).agg(F.collect_list(F.struct("sent_idx", "sentence")).alias("_s")).select(key, text(F.col("_s")).alias("value"))
+    return parsed.groupBy(key).agg(F.collect_list(F.struct("sent_idx", "sentence")).alias("_s")).select(key, bounded_udf(text, "string")(F.col("_s")).alias("value"))
 
 
 def first_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -257,12 +259,16 @@ def tokens_string(sentence: Column) -> Column:
 def dependencies_string(sentence: Column) -> Column:
     """A sentence's dependencies, a tuple of text, head and relation a line; empty unless its words are numbered in order and all have a head and a relation. A head that is no word fails."""
 
-    def lines(row: dict) -> str:
-        own = from_row(row).words()
+    def lines(s: Sentence) -> str:
+        own = s.words()
         if [w.id for w in own] != list(range(1, len(own) + 1)) or any(w.head is None or w.deprel is None for w in own):
             return ""
         if bad := [w for w in own if not 0 <= w.head <= len(own)]:
             raise ValueError(f"no word {bad[0].head}")
         return "\n".join(f"({w.text!r}, {w.head}, {w.deprel!r})" for w in own)
 
-    return arrow_values(lines, "string")(sentence)
+    def run(values: pa.Array) -> pa.Array:
+        parts = (values.slice(at, AT_ONCE) for at in range(0, len(values), AT_ONCE))
+        return pa.array((lines(s) if ok else None for x in parts for ok, s in zip(x.is_valid().to_pylist(), sentences_of(x), strict=True)), pa.string())
+
+    return bounded_udf(run, "string")(sentence)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD = "struct<id:int,empty_index:int,text:string,lemma:string,upos:string,xpos:string,feats:string,head:int,deprel:string,start_char:int,end_char:int,coref:string>"
 TOKEN = f"struct<text:string,start_char:int,end_char:int,space_after:string,spaces_before:string,ner:string,is_mwt:boolean,words:array<{WORD}>>"
@@ -140,3 +141,37 @@ def sentence_array(sentences: Sequence[Sentence]) -> pa.StructArray:
     tokens = [t for s in sentences for t in s.tokens]
     token_array = _struct(_columns(tokens, _TOKEN_TYPES) | {"words": _words([t.words for t in tokens])})
     return _struct(_columns(sentences, _SENTENCE_TYPES) | {"tokens": _lists([s.tokens for s in sentences], token_array), "empty": _words([s.empty for s in sentences])})
+
+
+def _objects(kind: type, values: pa.StructArray, **made: Callable[[pa.Array], list]) -> list:
+    """Objects of a dataclass from structs of its fields; made: how a field that is no plain value becomes a list."""
+    columns = dict(zip((f.name for f in values.type), values.flatten(), strict=True))
+    return [kind(*row) for row in zip(*(made.get(f.name, pa.Array.to_pylist)(columns[f.name]) for f in fields(kind)), strict=True)]
+
+
+def _pieces(lists: pa.ListArray, items: Callable[[pa.Array], list]) -> list[list]:
+    flat, out, at = items(lists.flatten()), [], 0
+    for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
+        out.append(flat[at : at + n])
+        at += n
+    return out
+
+
+def sentences_of(values: pa.StructArray) -> list[Sentence]:
+    """The sentences of SENTENCE structs, column by column: no row becomes a dictionary."""
+
+    def words(lists: pa.ListArray) -> list[list[Word]]:
+        return _pieces(lists, lambda x: _objects(Word, x))
+
+    return _objects(Sentence, values, tokens=lambda lists: _pieces(lists, lambda x: _objects(Token, x, words=words)), empty=words)
+
+
+#: Documents that become Python objects at once.
+AT_ONCE = 32
+
+
+def documents_of(rows: pa.ListArray) -> Iterator[list[Sentence]]:
+    """Each document's sentences in order, from lists of struct<sent_idx, sentence>."""
+    for at in range(0, len(rows), AT_ONCE):
+        for own in _pieces(rows.slice(at, AT_ONCE), lambda x: list(zip(x.field("sent_idx").to_pylist(), sentences_of(x.field("sentence")), strict=True))):
+            yield [s for _, s in sorted(own, key=lambda x: x[0])]
