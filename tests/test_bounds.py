@@ -85,3 +85,36 @@ def test_sentences_of_one_file_are_passed_on_in_parts(spark, monkeypatch):
     text = "\n".join("".join(f"{i}\tw{n}-{i}\t_\t_\t_\t_\t{i - 1}\tdep\t_\t_\n" for i in range(1, 4)) for n in range(9))
     found = conllu.words(conllu.sentences(spark.createDataFrame([(1, text), (2, None), (3, text)], "doc_id long, value string"), "doc_id")).collect()
     assert sorted((r.doc_id, r.sent_idx, r.word_id, r.text) for r in found) == [(d, n, i, f"w{n}-{i}") for d in (1, 3) for n in range(9) for i in range(1, 4)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_search_in_pieces_equals_all_pairs(spark, monkeypatch, kind):
+    import numpy as np
+
+    from textloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    # few directions, so that many scores tie and the least ids must win; ids in no order, of different lengths
+    vectors = [[float(x) for x in rng.integers(-1, 2, 3)] for _ in range(400)]
+    ids = [int(i) for i in rng.permutation(400) * 7]
+    name = (lambda i: i) if kind == "long" else str
+    rows = spark.createDataFrame([(name(i), v) for i, v in zip(ids, vectors, strict=True)], f"id {kind}, v array<double>")
+    queries = rows.where("cast(id as long) % 20 = 0").withColumnRenamed("id", "q")
+    unit = np.array(vectors) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    at = {i: n for n, i in enumerate(ids)}
+    expected = {(name(i), j) for i in ids if i % 20 == 0 for _, j in sorted((-round(float(unit[at[i]] @ unit[n]), 6), name(j)) for j, n in at.items())[:5]}
+    monkeypatch.setattr(retrieval, "SCORES", 64)
+    assert {(r.q, r.id) for r in retrieval.search(queries, rows, 5).collect()} == expected
+    best = retrieval._Best(3, 2)
+    for n in range(4):
+        best.offer(np.zeros((3, 5)), np.arange(5) + 5 * (3 - n))
+    assert [x[:2] for x in best.parts(100)] == [([0, 0, 1, 1, 2, 2], [0, 1] * 3)]
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100)
+    assert [len(i) for i, _ in retrieval._blocks(queries.select("q", "v"))] == [4] * (queries.count() // 4) + [queries.count() % 4] * bool(queries.count() % 4)
+
+
+def test_texts_that_differ_in_a_word_have_different_vectors(spark):
+    from textloom.operators.retrieval import hashed_terms
+
+    rows = spark.range(1, 3000).select(F.concat(F.lit("# Part "), "id").alias("t")).select(hashed_terms(4096)(F.col("t")).alias("v"))
+    assert rows.distinct().count() == 2999
