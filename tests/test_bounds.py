@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.unicode import arrow_values, lower
-from textloom.operators import coref
+from textloom.operators import chunking, coref, masking, pii, segment, subwords
 from textloom.session import BATCH_BYTES, BATCH_ROWS
-from textloom.sources import conllu, docjson
+from textloom.sources import conllu, docjson, marked
 from textloom.sources.documents import Sentence, Token, Word, documents_of, sentence_array, sentences_of
 
 SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
@@ -26,6 +26,7 @@ def made(spark):
     """By name, what makes each of these steps."""
     w = spark.createDataFrame([(1, 1, "a", "X", 0, "root", 0, 1)], "doc_id long, word_id int, text string, upos string, head int, deprel string, start_char int, end_char int")
     s, f = conllu.from_words(w), spark.createDataFrame([(1, FILE)], "doc_id long, value string")
+    t = f.withColumnRenamed("value", "text")
     return {
         "rendered": lambda: conllu.rendered(s, "doc_id"),
         "sentences": lambda: conllu.sentences(f, "doc_id"),
@@ -33,11 +34,17 @@ def made(spark):
         "dependencies": lambda: s.select(conllu.dependencies_string(F.col("sentence"))),
         "chains": lambda: coref.chains_of(s),
         "values": lambda: f.select(arrow_values(len, "int")(F.col("value"))),
+        "chunks": lambda: chunking.chunks(t, 20),
+        "subwords": lambda: subwords.piece_counter(t, 9),
+        "personal data": lambda: pii.find_pii(t),
+        "masks": lambda: masking.masked(t),
+        "cues": lambda: marked.cue_rows(f, key="doc_id"),
+        "segments": lambda: segment.annotated(t),
         "strings": lambda: f.select(lower(F.col("value"))),
     }
 
 
-@pytest.mark.parametrize("name", ["rendered", "sentences", "read json", "dependencies", "chains", "values", "strings"])
+@pytest.mark.parametrize("name", ["rendered", "sentences", "read json", "dependencies", "chains", "values", "strings", "chunks", "subwords", "personal data", "masks", "cues", "segments"])
 def test_python_gets_small_batches(spark, name):
     before = widened(spark)
     try:
@@ -118,3 +125,10 @@ def test_texts_that_differ_in_a_word_have_different_vectors(spark):
 
     rows = spark.range(1, 3000).select(F.concat(F.lit("# Part "), "id").alias("t")).select(hashed_terms(4096)(F.col("t")).alias("v"))
     assert rows.distinct().count() == 2999
+
+
+def test_letters_of_customers_are_dealt_over_the_cores(spark):
+    from textloom.plans import catalog
+
+    # one file of one row group; the work is in the text made of each row
+    assert catalog.QUERIES["pii_spans"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

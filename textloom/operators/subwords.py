@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.unicode import bounded_udf
+
 
 def longest_piece(word: str, vocab: Mapping[str, int] | set[str], prefix: str = "##", unknown: str = "[UNK]", most: int = 100) -> list[str]:
     """Greedy: the longest piece of the vocabulary each time; a word with a part that has none is unknown."""
@@ -82,13 +84,12 @@ def piece_counter(docs: DataFrame, size: int) -> DataFrame:
     top = {r.p for r in heads.orderBy(F.desc("n"), "p").limit(size).collect()}
     vocab = docs.sparkSession.sparkContext.broadcast(top | {"##" + p for p in top})
 
-    @F.arrow_udf("int")
     def pieces(lists: pa.Array) -> pa.Array:
         memo: dict[str, int] = {}
         out = []
-        for own in lists.to_pylist():
+        for x in lists:
             total = 0
-            for w in own or ():
+            for w in x.as_py() or ():
                 if w not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
@@ -98,4 +99,4 @@ def piece_counter(docs: DataFrame, size: int) -> DataFrame:
         return pa.array(out, pa.int32())
 
     listed = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("ws"))
-    return listed.select("doc_id", F.size("ws").alias("n_words"), pieces(F.col("ws")).alias("n_pieces"))
+    return listed.select("doc_id", F.size("ws").alias("n_words"), bounded_udf(pieces, "int")(F.col("ws")).alias("n_pieces"))
