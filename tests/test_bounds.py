@@ -132,3 +132,34 @@ def test_letters_of_customers_are_dealt_over_the_cores(spark):
 
     # one file of one row group; the work is in the text made of each row
     assert catalog.QUERIES["pii_spans"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_languages_by_broadcast_equal_those_by_join(spark, monkeypatch):
+    from textloom.operators import langid
+
+    texts = [(1, "en", "the cat sat on the mat"), (2, "de", "die Katze saß auf der Matte"), (3, None, "on the mat \U0001f600 x"), (4, None, "ab"), (5, None, None), (6, None, "auf der"), (6, None, "the cat sat"), (None, None, "Katze İ")]
+    d = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    model = langid.fit(d)
+    monkeypatch.setattr(langid, "CHARS", 4)
+    near = {tuple(r) for r in langid.identify(d, model).collect()}
+    assert "Join" not in langid.identify(d, model)._jdf.queryExecution().toString()
+    monkeypatch.setattr(langid, "CELLS", 0)
+    assert near == {tuple(r) for r in langid.identify(d, model).collect()}
+    assert {x for x, _ in near} == {1, 2, 3, 6, None}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_heaviest_terms_shuffle_texts_and_not_terms(spark, tmp_path, monkeypatch, repeated):
+    from tests.oracle import both
+    from textloom.plans import catalog, text_queries
+
+    rows = [(i, f"common word w{i % 7 * 'x'} " + "often " * (i % 3)) for i in range(40)] + [(40, None), (41, ""), (3 if repeated else 42, "word common common"), (None, "alone"), *([(None, "word alone")] if repeated else [])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    sql = catalog.ORACLE_SQL["tfidf_top"]
+    found, expected = both(spark, catalog.QUERIES["tfidf_top"], sql, str(tmp_path))
+    assert found == expected
+    plan = catalog.QUERIES["tfidf_top"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(text_queries, "BROADCAST_TERMS", 0)
+    found, expected = both(spark, catalog.QUERIES["tfidf_top"], sql, str(tmp_path))
+    assert found == expected
